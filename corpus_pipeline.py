@@ -1,10 +1,18 @@
-"""The corpus pipeline: near-duplicates out, sources mixed, sequences packed."""
+"""The corpus pipeline: bad and toxic documents and near-duplicates out, sources mixed, sequences packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import mixing, packing, simhash, tokens
+from pixelweave.llm import mixing, packing, quality, simhash, tokens, toxicity
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +27,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokens.vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality", good), ("toxicity", clean), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
 
 #: SQL cannot express the models, fingerprints and tokens; tests hold the stages against brute force.
 ORACLE_SQL = None

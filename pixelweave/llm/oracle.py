@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import END, SEP, START
 from .mixing import CAP, FILL_ROUNDS, WEIGHTS
+from .topk import EVERY, SCALE, TOP
 
 
 def mixing_sql(seed: str = "mix") -> str:
@@ -33,5 +35,22 @@ select doc_id, size, source_size, target,
     )
 
 
+TOPK_SQL = f"""with v as (select vec_id, min(list_transform(embedding, lambda x: floor({SCALE} * x::double))) v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0 group by vec_id),
+s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {EVERY} = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) pos from s)
+select query_id, cast(pos as integer) rank, vec_id, score from r where pos <= {TOP}"""
+
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+CHAT_SQL = f"""with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}')
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
+  cast(sum(case when r = 'assistant' then length(x) else 0 end) as bigint) loss_chars,
+  sha256(coalesce(string_agg(case when r = 'assistant' then x end, '' order by turn nulls first, r, x), '')) loss_sha256,
+  cast(sum({len(START + SEP + END) + 1} + length(r) + length(x) + len(regexp_extract_all(r || ' ' || x, '<\\\\*\\|'))) as bigint) formatted_chars
+from c group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing_sql()}
+    return {"op1_pareto_mixing": mixing_sql(), "op3_impact_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL}

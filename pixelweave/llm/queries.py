@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokens
+from . import chat, linkgraph, media, mixing, packing, quality, simhash, tokens, topk, toxicity
 from .common import documents
 
 
@@ -21,13 +21,46 @@ def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % topk.EVERY == 0))
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op5_linkgraph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn int, role string, text string")
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema.fields])
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra), tokens.vocabulary("byte_bpe_50k.json")))
+
+
+def op8_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.fingerprints(documents(spark, sf_dir))
+    code = F.sha2(F.concat_ws(";", F.array_join("fp_times", ","), F.array_join("fp_codes", ",")), 256)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("fp_codes"), code).alias("feature"))
+
+
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pareto_mixing, op2_simhash_bktree, op4_prefix_token_counts, op9_residual_packing)}
+    every = (op1_pareto_mixing, op2_simhash_bktree, op3_impact_topk, op4_prefix_token_counts, op5_linkgraph_filter)
+    every += (op6_cnn_toxicity, op7_chat_format, op8_wav_fingerprints, op9_residual_packing, op10_hierarchical_quality)
+    return {f.__name__: f for f in every}
