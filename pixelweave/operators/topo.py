@@ -87,7 +87,7 @@ def topo_residual(pixels: DataFrame, wavelength: float, slant: Column, incidence
 def topofit_linear(phase: np.ndarray, bperp: np.ndarray, wraps: float = 4.0, steps: int = 8) -> tuple[float, float]:
     """K h and coherence of one pixel by a coarse grid over wraps and one weighted least-squares step: a cross-check."""
     span = bperp.max() - bperp.min()
-    grid = np.arange(-int(steps * wraps), int(steps * wraps) + 1) * pi / (steps / 2) / span / 2
+    grid = np.arange(-int(steps * wraps), int(steps * wraps) + 1) * 2 * pi / steps / span
     z = np.exp(1j * phase)
     fit = np.abs((z[None, :] * np.exp(-1j * grid[:, None] * bperp)).sum(axis=1)) / len(z)
     k = grid[fit.argmax()]

@@ -101,7 +101,7 @@ def annotation_date(fields: dict[str, str], key: str = "start time of acquisitio
     return datetime.strptime(fields[key], "%d-%b-%Y %H:%M:%S UTC").date()
 
 
-def read_uavsar(spark: SparkSession, folder: str, width: int) -> tuple[DataFrame, DataFrame]:
+def read_airborne(spark: SparkSession, folder: str, width: int) -> tuple[DataFrame, DataFrame]:
     """Airborne stacks: one annotation per acquisition (*.ann beside *.slc), from which dates and wavelengths come."""
     images, notes = list_files(spark, f"{folder}/*.slc"), list_files(spark, f"{folder}/*.ann")
     if len(images) != len(notes):
