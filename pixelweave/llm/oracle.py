@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import END, SEP, START
+from .linkgraph import DAMPING, ROUNDS, RULES, THRESHOLD
 from .mixing import CAP, FILL_ROUNDS, WEIGHTS
 from .topk import EVERY, SCALE, TOP
 
@@ -52,5 +53,33 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10)
 from c group by conv_id"""
 
 
+def linkgraph_sql() -> str:
+    """The rules as a chain of cases, and the propagation as one block for each round."""
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    host = lambda rest: f"translate(regexp_extract({rest}, '^[^/?#]*'), {lower})"
+    after = lambda url: f"case when instr({url}, '://') > 0 then substr({url}, instr({url}, '://') + 3) else '' end"
+    rules = sorted(RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}')"
+    out = f"""with p as (select page_id, html, {host('rest')} host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') path from (select *, coalesce({after('url')}, '') rest from pages)),
+j as (select page_id, host, path, case {" ".join(f"when {fits(r)} then '{r}'" for _, r in rules)} end rule, case {" ".join(f"when {fits(r)} then '{v}'" for v, r in rules)} end ruled from p),
+h as (select host src, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?([^"''>\\s]+)', 1)) href from p),
+l as (select src, {host(after("href"))} dst from (select src, case when starts_with(href, '//') then 'http:' || href else href end href from h)),
+e as (select src, dst, count(*) n from l where src <> '' and dst <> '' and src <> dst group by src, dst),
+b as (select true good, src, dst, n from e union all select false, dst, src, n from e),
+w as (select good, src host, dst, n / sum(n) over (partition by good, src) share from b),
+s as (select ruled = 'allow' good, host, count(*) n from j where ruled is not null group by all),
+r0 as (select good, host, n * ((1 - {DAMPING}::double) / (select sum(n) from s)) mass from s)"""
+    for k in range(ROUNDS):
+        out += f""",
+r{k + 1} as (select good, host, sum(mass) mass from (select * from r0 union all select good, w.dst, mass * share * {DAMPING}::double from r{k} join w using (good, host)) group by good, host)"""
+    return (
+        out
+        + f""",
+v as (select host, coalesce(sum(mass) filter (good), 0.0) trust, coalesce(sum(mass) filter (not good), 0.0) distrust from r{ROUNDS} group by host)
+select page_id, host, path, rule, coalesce(ruled, case when coalesce(distrust, 0) > coalesce(trust, 0) * {THRESHOLD} then 'block' else 'allow' end) verdict,
+  round(coalesce(trust, 0.0)::double, 9) trust, round(coalesce(distrust, 0.0)::double, 9) distrust from j left join v using (host)"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mixing": mixing_sql(), "op3_impact_topk": TOPK_SQL, "op7_chat_format": CHAT_SQL}
+    return {"op1_pareto_mixing": mixing_sql(), "op3_impact_topk": TOPK_SQL, "op5_linkgraph_filter": linkgraph_sql(), "op7_chat_format": CHAT_SQL}

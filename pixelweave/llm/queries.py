@@ -31,7 +31,8 @@ def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_linkgraph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    judged = linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op6_cnn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
