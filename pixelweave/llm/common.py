@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a table may be broadcast; above, the join is shuffled (adaptive execution splits hot keys).
 BROADCAST_ROWS = 50_000
 
+#: Rows of an Arrow batch; the usual 10,000 long texts would hold much memory in both the JVM and Python.
+BATCH_ROWS = 1000
+
 #: The white space of the contracts, and what is between it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,21 +33,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of this run in the shared folder, read again."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        checkpoint(df.sparkSession.range(0).toDF("id"))
+    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str = "left") -> DataFrame:
     """Join a side of `rows` counted rows: broadcast below the bound, shuffled above it."""
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send long texts to Python in batches of BATCH_ROWS rows, unless the session names a smaller number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as reused workers would else hold what earlier stages needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 256) -> DataFrame:
     """Stream rows through fn, some hundred at a time: fn gets a list for each input column and returns one for each output column."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the kernels make no cycles, and each collection walks all that they remember
@@ -53,18 +85,24 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, ro
                     yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, target, strict=True)], schema=target)
         finally:
             gc.enable()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
 def row_udf(fn: Callable[[list], list], schema: str, rows: int = 256) -> Callable[[Column], Column]:
     """A vectorised column function of one column, some hundred rows at a time; for operators that keep all columns of their input."""
+    small_batches(SparkSession.active())
+
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for values in batches:
-            out: list = []
-            for at in range(0, len(values), rows):
-                out += fn(list(values.iloc[at : at + rows]))
-            yield pd.Series(out, dtype="float64" if schema == "double" else "int64" if schema == "long" else object)
+        try:
+            for values in batches:
+                out: list = []
+                for at in range(0, len(values), rows):
+                    out += fn(list(values.iloc[at : at + rows]))
+                yield pd.Series(out, dtype="float64" if schema == "double" else "int64" if schema == "long" else object)
+        finally:
+            give_back()
 
     return run

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a sample has at most, and the characters of a text that it takes in.
-SAMPLE, CHARS = 3000, 20_000
+SAMPLE, CHARS = 2000, 20_000
 
 FOLDS = 5
 

@@ -31,8 +31,8 @@ from .common import map_batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks that a generation of a memory holds, and the longest chunk that it keeps.
-GENERATION, LONGEST = 300_000, 64
+#: Words and chunks that a generation of a memory holds, and the longest ones that it keeps.
+WORDS, CHUNKS, LONGEST = 150_000, 60_000, 64
 
 #: Symbols of a head that words share, and heads that a generation holds.
 HEAD, HEADS = 6, 30_000
@@ -84,7 +84,7 @@ def load(path: str):
 class Memory(dict):
     """What has been worked out for a chunk, with at most two generations of chunks kept."""
 
-    def __init__(self, work, size: int = GENERATION):
+    def __init__(self, work, size: int = WORDS):
         super().__init__()
         self.work, self.size, self.old = work, size, {}
 
@@ -186,10 +186,11 @@ class PrefixCounts(Words):
         self.inner = {t for t in vocab if not t.endswith(self.end)}
         self.final = {t[: -len(self.end)] for t in vocab if t.endswith(self.end)}
         self.longest = max(map(len, self.inner | self.final))
+        del self.description
         self.fits: tuple[dict, dict] = ({}, {})
         self.words = Memory(self._word)
         self.heads = Memory(self._head, HEADS)
-        self.totals = Memory(self._total)
+        self.totals = Memory(self._total, CHUNKS)
 
     def bpe(self, symbols: list[str]) -> list[str]:
         """Merge by rank until nothing merges."""
@@ -310,7 +311,8 @@ class Ids(Words):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words, self.chunk = Memory(self._word), Memory(self._chunk)
+        del self.description
+        self.words, self.chunk = Memory(self._word), Memory(self._chunk, CHUNKS)
 
     def _word(self, word: str) -> bytes:
         s = "".join(map(SYMBOLS.__getitem__, word.encode()))

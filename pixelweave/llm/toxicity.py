@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_udf
+from .common import give_back, row_udf
 from .labelled import held_out, sample
-from .tokens import Chunks
+from .tokens import Chunks, Memory
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 EPOCHS, STEPS, BATCH, STEP, SEED = 5, 400, 64, 0.02, 11  # at least so many epochs and steps
 
 #: Words that are convolved at once, and characters of the texts that are numbered at once.
-BLOCK, CHARACTERS = 1 << 18, 4_000_000
+BLOCK, CHARACTERS = 1 << 16, 1_000_000
 
 #: The parts of a word: it, its starts and its ends of these lengths. Padded to one number of parts.
 STARTS, ENDS = (3, 4, 5, 6), (3, 4)
@@ -63,6 +63,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.parts = Memory(lambda w: np.array(parts(w), np.int32).tobytes(), 60_000)
 
     def scores(self, texts: list[str | None]) -> list[float]:
         out: list[float] = []
@@ -79,7 +80,7 @@ class Scorer:
     def _some(self, texts: list[str]) -> list[float]:
         m = self.model
         chunks = Chunks(pa.array(texts, pa.large_string()))
-        table = np.array([parts(w) for w in chunks.distinct] or [[0] * PARTS], np.int64)
+        table = np.frombuffer(b"".join([self.parts[w] for w in chunks.distinct]) or bytes(4 * PARTS), np.int32).reshape(-1, PARTS)
         # row 0 is the blank that fills texts up to the widest filter
         projected = [np.vstack([np.zeros((1, FILTERS), np.float32), p.astype(np.float32)]) for p in m.projections(m.vectors(table))]
         which, bounds = chunks.which.to_numpy() + 1, chunks.bounds
@@ -120,10 +121,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> Model:
     """
     rng = np.random.default_rng(seed)
     chunks = Chunks(pa.array(texts, pa.large_string()))
-    table = np.array([parts(w) for w in chunks.distinct] or [[0] * PARTS], np.int64)
-    table = np.vstack([np.zeros((1, PARTS), np.int64), table])
+    table = np.array([[0] * PARTS, *(parts(w) for w in chunks.distinct)], np.int32)
     pad = max(WIDTHS) - 1
-    streams = [np.concatenate([chunks.which.to_numpy()[a:b] + 1 if b > a else [0], np.zeros(pad, np.int64)]).astype(np.int64) for a, b in zip(chunks.bounds, chunks.bounds[1:])]
+    streams = [np.concatenate([chunks.which.to_numpy()[a:b] + 1 if b > a else [0], np.zeros(pad, np.int64)]).astype(np.int32) for a, b in zip(chunks.bounds, chunks.bounds[1:])]
     seen = np.full((2, BUCKETS), 0.5)
     for s, c in zip(streams, y):
         seen[int(c), np.unique(table[np.unique(s)])] += 1
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         t = min(max(best_cut(s, y[rest]), 1e-6), 1 - 1e-6)
         m.offset -= float(np.log(t / (1 - t)))
         s = np.array(Scorer(m).scores([rows[i]["text"] for i in rest]))
+    give_back()
     m.thresholds = {None: 0.5}
     langs = np.array([rows[i]["lang"] or "" for i in rest])
     for lang in set(langs):
