@@ -62,11 +62,19 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return row_udf(lambda texts: [signed(fingerprint(t, shingle)) for t in texts], "long")(text.cast("binary"))
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (rows of 64-bit words) to one."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
+
+
 class BKTree:
-    """A BK-tree in arrays: for each node its fingerprint, and its children ordered by their distance to it."""
+    """A BK-tree in arrays: for each node its fingerprint, and its children ordered by their distance to it.
+
+    Fingerprints are numbers of 64 bits, or rows of several.
+    """
 
     def __init__(self, values: np.ndarray):
-        self.values = values
+        self.values = values = values.reshape(len(values), -1) if values.ndim == 1 else values
         n = len(values)
         # all nodes move down together: those at the same parent and distance follow the first of them, which stays
         self.children: list[dict[int, int]] = [{} for _ in range(n)]
@@ -74,7 +82,7 @@ class BKTree:
         while waiting:
             below: dict[int, np.ndarray] = {}
             for parent, ids in waiting.items():
-                d = np.bitwise_count(values[ids] ^ values[parent])
+                d = distances(values[ids], values[parent])
                 order = np.argsort(d, kind="stable")
                 ids, d = ids[order], d[order]
                 for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(d)) + 1):
@@ -87,11 +95,12 @@ class BKTree:
 
     def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index of the query, node) at the radius or less. Queries go down the tree together."""
-        found_q, found_n, front = [], [], {0: np.arange(len(queries))} if len(self.values) else {}
-        stack = list(front.items())
+        queries = queries.reshape(len(queries), -1) if queries.ndim == 1 else queries
+        found_q, found_n = [], []
+        stack = [(0, np.arange(len(queries)))] if len(self.values) else []
         while stack:
             node, q = stack.pop()
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int16)
+            d = distances(queries[q], self.values[node])
             near = q[d <= radius]
             found_q.append(near)
             found_n.append(np.full(len(near), node))
@@ -204,17 +213,121 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return classes(prints, radius).select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """df's rows, all columns, one of each component: that of the smallest id (null ids last), then of the least text hash."""
+# ---- near copies of a given similarity: long fingerprints ---------------------------------------------------------
+
+#: Words of a shingle, the similarity (Jaccard, of sets of shingles) and the 64-bit words of a fingerprint.
+NEAR_SHINGLE, NEAR_SIMILARITY, WORDS = 5, 0.8, 4
+
+#: Nodes that a shard has on average, those that it has at most, the chance that a pair at the similarity meets in a shard,
+#: and by how many deviations of its distance the radius is above the mean.
+MEET, CROWD, RECALL, MARGIN = 256, 4096, 0.95, 0.7
+
+# Odd numbers that make further hashes of one: any would do.
+_SPREAD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which sets of that Jaccard similarity differ on average: the angle between them over pi."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
+def near_radius(similarity: float = NEAR_SIMILARITY, words: int = WORDS) -> int:
+    p, n = differing(similarity), BITS * words
+    return int(n * p + MARGIN * (n * p * (1 - p)) ** 0.5)
+
+
+def long_fingerprint(text: bytes | None, shingle: int = NEAR_SHINGLE, words: int = WORDS) -> list[int]:
+    """As fingerprint(), over distinct shingles and with more bits; no word gives zeros."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return [0] * words
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(parts) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    every = {digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(parts)) - 1 :].tolist())}
+    h = np.fromiter(every, np.uint64, len(every))
+    out = []
+    for k in range(words):
+        v = h * np.uint64(_SPREAD[k])
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(_SPREAD[(k + 1) % words])
+        v ^= v >> np.uint64(32)
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(v), BLOCK):
+            counts += np.unpackbits(v[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(signed(int(np.packbits(2 * counts > len(v), bitorder="little").view("<u8")[0])))
+    return out
+
+
+def _nearest(ids: list[int], values: list[list[int]], radius: int) -> list[tuple[int, int]]:
+    """For each member of a shard a link to the nearest one at the radius or less, and to the nearest of those before it."""
+    ids_, v = np.array(ids, np.int64), np.array(values, np.int64).view(np.uint64)
+    q, node = BKTree(v).within(v, radius)
+    keep = q != node
+    q, node = q[keep], node[keep]
+    d = distances(v[q], v[node])
+    out = set()
+    for before in (False, True):
+        part = np.flatnonzero(node < q) if before else np.arange(len(q))
+        order = part[np.lexsort((node[part], d[part], q[part]))]
+        first = order[np.unique(q[order], return_index=True)[1]] if len(order) else order
+        out |= {(max(a, b), min(a, b)) for a, b in zip(ids_[q[first]].tolist(), ids_[node[first]].tolist())}
+    return list(out)
+
+
+def near_links(nodes: DataFrame, radius: int, seed: int = 5) -> DataFrame:
+    """Links (a, b) of nodes (id, fp: array of longs) at the radius or less.
+
+    Nodes that agree on all of a random choice of bits share a shard; there are so many choices that a pair at the
+    similarity meets in one with probability RECALL. A shard of more than CROWD nodes is dealt into parts by a hash that
+    differs from choice to choice: its nodes are near copies for the most part, so that each finds others in any part.
+    """
+    n = max(nodes.count(), 1)
+    bits = int(np.clip(round(np.log2(n / MEET)), 4, 40))
+    choices = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differing(NEAR_SIMILARITY)) ** bits))))
+    rng = np.random.default_rng(seed)
+    keys = []
+    for k in range(choices):
+        masks = [0] * WORDS
+        for bit in rng.choice(BITS * WORDS, bits, replace=False).tolist():
+            masks[bit // BITS] |= 1 << (bit % BITS)
+        keys.append(F.xxhash64(F.lit(k), *[F.col("fp")[w].bitwiseAND(signed(m)) for w, m in enumerate(masks)]))
+    dealt = nodes.select("id", "fp", F.posexplode(F.array(*keys)).alias("k", "key"))
+    sizes = checkpoint(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    parts = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("n") / CROWD))).otherwise(F.lit(0))
+    shards = dealt.join(sizes, "key").groupBy("key", parts.alias("part")).agg(F.collect_list(F.struct("id", "fp")).alias("m")).where(F.size("m") > 1)
+    shards = shards.select(F.transform("m", lambda m: m["id"]).alias("ids"), F.transform("m", lambda m: m["fp"]).alias("fps"))
+    found = map_batches(shards, lambda cols: _split([e for i, v in zip(*cols) for e in _nearest(i, v, radius)], cols), "a array<long>, b array<long>", 64)
+    return found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
+
+
+def near_classes(prints: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """prints (fp and more) with root: equal for near copies. Equal fingerprints are one node, of a 64-bit hash of theirs."""
+    rows = prints.withColumn("id", F.xxhash64("fp"))
+    nodes = checkpoint(rows.groupBy("id").agg(F.min("fp").alias("fp")))
+    roots = checkpoint(components(near_links(nodes, near_radius(similarity))))
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """df's rows, all columns, one of each group of near copies: that of the smallest id (null ids last), then of the least
+    text hash.
+
+    Near copies are linked by long fingerprints of sets of five-word shingles within the radius of the similarity, which a
+    distance estimates to a few hundredths. Null, empty and blank texts are one group. Of repeated rows one stays. Empty
+    table: no rows.
+    """
     text = F.col(f"`{text_col}`")
     mark = F.xxhash64(text)
-    prints = checkpoint(df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), fingerprints(text, shingle).alias("fp")))
-    every = classes(prints, radius)
+    fp = row_udf(lambda texts: [long_fingerprint(t, shingle) for t in texts], "array<long>")(text.cast("string").cast("binary"))
+    prints = checkpoint(df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), fp.alias("fp")))
+    every = near_classes(prints, similarity)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     kept = checkpoint(every.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.mark").alias("__k_mark")))
-    rows = df.withColumn("__mark", mark)
-    out = rows.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__k_id")) & (F.col("__mark") == F.col("__k_mark")), "left_semi")
+    same = lambda i, m: i.eqNullSafe(F.col("__k_id")) & (m == F.col("__k_mark"))
+    out = df.withColumn("__mark", mark).join(kept, same(F.col(f"`{id_col}`"), F.col("__mark")), "left_semi")
     # only where an id has the same text in several rows is there more to drop
-    if prints.join(kept, F.col("doc_id").eqNullSafe(F.col("__k_id")) & (F.col("mark") == F.col("__k_mark")), "left_semi").groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        return out.drop("__mark")
-    return out.dropDuplicates([id_col, "__mark"]).drop("__mark")
+    repeated = prints.join(kept, same(F.col("doc_id"), F.col("mark")), "left_semi").groupBy("doc_id", "mark").count().where("count > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates([id_col, "__mark"])).drop("__mark")
