@@ -25,6 +25,9 @@ LENGTH = 2048
 #: Partitions that are merged at once, and pieces that are packed at once.
 FAN, ITEMS = 8, 200_000
 
+#: Pieces that a partition has at least, on average.
+LEAST = 10_000
+
 _PIECE = "struct<doc_id:{0},piece:int,start:bigint,length:bigint,ids_crc32:bigint,offset:bigint>"
 
 
@@ -108,8 +111,13 @@ def _pack(df: DataFrame, kind: str, size: int, carry: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def pack(items: DataFrame, size: int = LENGTH, fan: int = FAN) -> DataFrame:
-    """The pieces with sequence_id and offset; sequences are gapless from 0 and hold at most `size` tokens."""
+def pack(items: DataFrame, size: int = LENGTH, fan: int = FAN, least: int = LEAST) -> DataFrame:
+    """The pieces with sequence_id and offset; sequences are gapless from 0 and hold at most `size` tokens.
+
+    Partitions that have less than `least` pieces on average are joined first, since few pieces fit less well.
+    """
+    n, parts = items.count(), items.rdd.getNumPartitions()
+    items = items.coalesce(max(1, min(parts, n // least)))
     kind = _PIECE.format(items.schema["doc_id"].dataType.simpleString())
     cols = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset")).cast(kind)
     rows = items.select(F.col("length").alias("fill"), F.array(cols).alias("pieces"))
