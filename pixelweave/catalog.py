@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from math import pi
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .functions import dates as D
 from .functions import stats, timefn
 from .operators import amplitude, closure, despeckle, fit, neighbours, network, phaselink, sbas, scatterers, sequential, simulate, spectral, topo
 from .plans import stencil
+from .plans.checkpoints import checkpoint
 from .sources import raster
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -213,6 +215,29 @@ def s8_geographic_window(spark, d):
     return raster.geographic_window(g, 39.9, 39.97, 10.05, 10.15)
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder of the shared checkpoint folder, for files that a query writes and reads."""
+    checkpoint(spark.range(0).toDF("id"))
+    return f"{spark.sparkContext.getCheckpointDir()}/scratch/{uuid4().hex}/{name}"
+
+
+@register("select cast(date '2022-01-01' + cast(12*k as integer) as date) master, cast(date '2022-01-01' + cast(12*k + 12 as integer) as date) slave, 'i' || k || '.unw' unwrapped, 'i' || k || '.cor' coherence, 0.25::double threshold, case when k % 2 = 0 then 2.0 else 1.0 end::double scale from (select unnest(range(31)) k)")
+def s9_pair_list(spark, d):
+    day = lambda k: F.date_format(F.date_add(F.lit(X.FIRST), (k * X.STEP).cast("int")), "yyyyMMdd")
+    name = lambda end: F.concat(F.lit("i"), "id", F.lit(end))
+    rows = spark.range(31).select(day(F.col("id")).alias("Master Date"), day(F.col("id") + 1).alias("Slave Date"), name(".unw").alias("Unwrapped Interferogram"), name(".cor").alias("Coherence"), F.when(F.col("id") % 2 == 0, "2").alias("Scale"))
+    path = _scratch(spark, "pairs.csv")
+    rows.write.csv(path, header=True)
+    return raster.read_pairs(spark, path, threshold=0.25)
+
+
+@register(f"with {PX}, {st(4)} select y, x, band, re, im from st where band = 2")
+def k1_raster_sink(spark, d):
+    path = _scratch(spark, "stack")
+    raster.write_raster(X.stack(spark, d, 4), path, "band")
+    return spark.read.parquet(path).where("band = 2").select("y", "x", F.col("band").cast("int").alias("band"), "re", "im")
+
+
 @register(f"with {PX}, {st()}, {_BANDS} select band, date, {R(f'avg({AMP})')} amp_const from st join b using (band) group by band, date")
 def k2_annotated_bands(spark, d):
     return raster.with_constants(X.bands(spark), amplitude.calibrate(X.stack(spark, d))).select("band", "date", rnd("amp_const").alias("amp_const"))
@@ -453,6 +478,13 @@ def o26_sequential(spark, d):
     return own.select("y", "x", "ministack", rnd("tcorr", 4).alias("tcorr"))
 
 
+@register()
+def t5_sequential_overlap(spark, d):
+    masks = neighbours.bit_masks(X.edges(spark, d), 2, 2)
+    out = sequential.sequential_overlap(X.wide(spark, d, 12), masks, 12, 4, 2, 2, "EVD")
+    return out.select("y", "x", rnd("tcorr", 4).alias("tcorr"), F.transform("re", lambda v: F.round(v, 4)).alias("re"))
+
+
 # ---- small baselines -----------------------------------------------------------------------------------------------
 
 _PAIRS = [(i, i + s) for i in range(8) for s in (1, 2) if i + s < 8]

@@ -47,6 +47,21 @@ def sequential(wide: DataFrame, masks: DataFrame, n_bands: int, size: int = 10,
     return out, datum.select("y", "x", "tcorr", "re", "im")
 
 
+def sequential_overlap(wide: DataFrame, masks: DataFrame, n_bands: int, size: int = 10, ny: int = 9, nx: int = 29, method: str = "MLE", **options) -> DataFrame:
+    """y, x, tcorr (of the last mini stack), re, im of all bands: mini stacks share one band with the one before and are
+    chained at it, without compressed acquisitions."""
+    out = checkpoint(phase_link(mini_stack(wide, None, 0, min(size, n_bands)), masks, ny, nx, method, **options).select("y", "x", "tcorr", "re", "im"))
+    for start in range(size, n_bands, size):
+        stop = min(start + size, n_bands)
+        part = phase_link(mini_stack(wide, None, start - 1, stop), masks, ny, nx, method, **options).select("y", "x", F.col("tcorr").alias("t"), F.slice("re", 2, stop - start).alias("r"), F.slice("im", 2, stop - start).alias("i"))
+        last = F.struct(F.element_at("re", -1).alias("re"), F.element_at("im", -1).alias("im"))
+        both = out.join(part, ["y", "x"]).withColumn("last", last)
+        re = F.zip_with("r", "i", lambda a, b: a * F.col("last.re") - b * F.col("last.im"))
+        im = F.zip_with("r", "i", lambda a, b: a * F.col("last.im") + b * F.col("last.re"))
+        out = checkpoint(both.select("y", "x", F.col("t").alias("tcorr"), F.concat("re", re).alias("re"), F.concat("im", im).alias("im")))
+    return out
+
+
 def adjust_wrapped(linked: DataFrame, datum: DataFrame) -> DataFrame:
     """Each mini stack's phasors (y, x, ministack, re, im) times the datum of the mini stack: y, x, ministack, k, re, im."""
     d = datum.select("y", "x", F.posexplode(F.arrays_zip("re", "im")).alias("ministack", "d"))

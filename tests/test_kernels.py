@@ -150,6 +150,8 @@ def test_sequential_estimator_equals_numpy(spark):
     got = sequential.adjust_wrapped(own.where("y = 1 and x = 1"), datum).orderBy("ministack", "k").collect()
     # the compressed acquisitions of the numpy version are those of each pixel, as here: the window is the whole grid
     assert np.allclose([r.re + 1j * r.im for r in got], simulate.sequential_numpy(z, 4), atol=1e-8)
+    row = sequential.sequential_overlap(wide, _full_masks(spark, 3, 2, 2), 8, 3, 2, 2, "EVD").where("y = 1 and x = 1").first()
+    assert np.allclose(np.array(row.re) + 1j * np.array(row.im), simulate.sequential_overlap_numpy(z, 3), atol=1e-8)
 
 
 # ---- inversion, fits, grid search
