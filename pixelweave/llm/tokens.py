@@ -32,7 +32,7 @@ from .common import map_batches
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and chunks that a generation of a memory holds, and the longest ones that it keeps.
-WORDS, CHUNKS, LONGEST = 150_000, 60_000, 64
+WORDS, CHUNKS, LONGEST = 200_000, 60_000, 64
 
 #: Symbols of a head that words share, and heads that a generation holds.
 HEAD, HEADS = 6, 30_000
@@ -51,6 +51,13 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 #: Latin text, for which Python's lower case and letters are the tokenizer's; the rest goes through the library.
 _PLAIN = re.compile(r"[!-~\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-ıĴ-ňŊ-ž]*")
+#: The same for whole texts, as Arrow's regular expressions have it: texts with other characters, and all parts but letters.
+_NOT_PLAIN = r"[^\t-\r -~\x{a1}-\x{a9}\x{ab}\x{ac}\x{ae}-\x{b1}\x{b4}\x{b6}-\x{b8}\x{bb}\x{bf}-\x{ff}]|<\|"
+_BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^a-z\x{b5}\x{df}-\x{f6}\x{f8}-\x{ff}0-9\t-\r ]+)"
+
+#: What marks a special token among words, which have no blanks.
+_SPECIAL = " "
+
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 def _byte_symbols() -> list[str]:
@@ -101,23 +108,25 @@ class Memory(dict):
 
 
 class Chunks:
-    """The chunks of many texts: the distinct ones, and for each text which it has, in order.
+    """The parts of many texts: the distinct ones, and for each text which it has, in order.
 
-    Arrow divides and numbers them, so that Python sees each distinct chunk once. It takes the same characters for
-    white space as the tokenizer, but for those of _CONTROL, which are divided here.
+    Arrow divides and numbers them, so that Python sees each distinct part once.
     """
 
-    def __init__(self, texts: pa.Array):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if pc.any(pc.match_substring_regex(texts, _CONTROL.pattern)).as_py():
-            lists = pa.array([chunks(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
-        else:
-            lists = pc.utf8_split_whitespace(texts)
+    def __init__(self, lists: pa.Array):
         coded = lists.values.dictionary_encode()
         self.distinct: list[str] = coded.dictionary.to_pylist()
         self.which = coded.indices
         self.bounds = lists.offsets.to_numpy()
 
+    @classmethod
+    def of(cls, texts: pa.Array) -> Chunks:
+        """What is between white space: Arrow takes the tokenizer's characters for it, but for those of _CONTROL."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if pc.any(pc.match_substring_regex(texts, _CONTROL.pattern)).as_py():
+            return cls(pa.array([chunks(t) for t in texts.to_pylist()], pa.large_list(pa.large_string())))
+        return cls(pc.utf8_split_whitespace(texts))
+
     def sums(self, each: list[int]) -> np.ndarray:
         """Sums over each text of what its chunks have."""
         run = np.concatenate([[0], np.cumsum(np.array(each, np.int64)[self.which.to_numpy()])]) if each else np.zeros(1, np.int64)
@@ -132,11 +141,13 @@ class Chunks:
         return [data[a:b] for a, b in zip(at, at[1:])]
 
 
-def chunks(text: str | None) -> list[str]:
-    """What is between white space."""
+def chunks(text: str | None, most: int | None = None) -> list[str]:
+    """What is between white space; with most, the first ones of it."""
     if not text:
         return []
-    return [c for c in _SPACE.split(text) if c] if _CONTROL.search(text) else text.split()
+    if _CONTROL.search(text):
+        return [c for c in _SPACE.split(text) if c][:most]
+    return text.split() if most is None else text.split(None, most)[:most]
 
 
 class Words:
@@ -162,6 +173,19 @@ class Words:
         # offsets are code points of the normalised text, but for characters of several bytes in several pieces
         return text, [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def divided(self, texts: pa.Array) -> list[tuple[np.ndarray, Chunks]]:
+        """The words of texts, in two groups with the places of their texts: plain ones by Arrow, others one by one."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _NOT_PLAIN)
+        out = []
+        if len(plain := texts.filter(pc.invert(odd))):
+            spaced = pc.replace_substring_regex(pc.utf8_lower(plain), _BETWEEN, r" \1 ")
+            out.append((np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), Chunks(pc.utf8_split_whitespace(spaced))))
+        if len(rest := texts.filter(odd)):
+            words = [[w for c in chunks(t) for text, ws in self._parts(c) for w in ([_SPECIAL + text] if ws is None else ws)] for t in rest.to_pylist()]
+            out.append((np.flatnonzero(odd.to_numpy(zero_copy_only=False)), Chunks(pa.array(words, pa.large_list(pa.large_string())))))
+        return out
+
     def _parts(self, chunk: str):
         """The special tokens of a chunk, as (text, None), and what is between them, as (normalised text, its words)."""
         if self._split_special and self._split_special.search(chunk):
@@ -281,17 +305,22 @@ class PrefixCounts(Words):
         return sum(map(self.totals.__getitem__, chunks(text)))
 
     def all_totals(self, texts: pa.Array) -> np.ndarray:
-        parts = Chunks(texts)
-        return parts.sums([self.totals[c] for c in parts.distinct])
+        out = np.zeros(len(texts), np.int64)
+        for at, parts in self.divided(texts):
+            out[at] = parts.sums([1 if w[:1] == _SPECIAL else self.words[w][-1] if w else 0 for w in parts.distinct])
+        return out
 
-    def table(self, text: str | None) -> tuple[list[str], list[int]]:
-        """The chunks of a text and the tokens before each, then those of all; inside(c) has what is inside."""
-        parts = chunks(text)
+    def table(self, text: str | None, most: int | None = None) -> tuple[list[str], list[int]]:
+        """The chunks of a text and the tokens before each, then those of all; inside(c) has what is inside.
+
+        With most, only so many chunks: each has a token, so that a budget needs no more.
+        """
+        parts = chunks(text) if most is None else chunks(text, most)
         return parts, list(accumulate(map(self.totals.__getitem__, parts), initial=0))
 
     def longest_prefix(self, text: str | None, budget: int) -> tuple[int, int]:
         """The most code points at the start of a text, counted without white space, that make at most `budget` tokens, and those tokens."""
-        parts, before = self.table(text)
+        parts, before = self.table(text, budget + 1)
         k = bisect_right(before, budget) - 1
         whole = sum(map(len, parts[:k]))
         if k == len(parts):
@@ -312,23 +341,23 @@ class Ids(Words):
     def __init__(self, path: str):
         super().__init__(path)
         del self.description
-        self.words, self.chunk = Memory(self._word), Memory(self._chunk, CHUNKS)
+        self.words = Memory(self._word)
 
     def _word(self, word: str) -> bytes:
+        if word[:1] == _SPECIAL:
+            return array("I", [self.special[word[1:]]]).tobytes()
         s = "".join(map(SYMBOLS.__getitem__, word.encode()))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(s)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if (words := self._simple(chunk)) is not None:
-            return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
-        return b"".join([array("I", [self.special[text]]).tobytes() if words is None else b"".join([self.words[w] for w in words]) for text, words in self._parts(chunk)])
-
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.chunk.__getitem__, chunks(text)))
+        return bytes(self.encode_all(pa.array([text], pa.large_string()))[0])
 
     def encode_all(self, texts: pa.Array) -> list[memoryview]:
-        parts = Chunks(texts)
-        return parts.joined([self.chunk[c] for c in parts.distinct])
+        out: list = [b""] * len(texts)
+        for at, parts in self.divided(texts):
+            for i, ids in zip(at.tolist(), parts.joined([self.words[w] for w in parts.distinct])):
+                out[i] = ids
+        return out
 
 
 _made: dict[tuple, object] = {}

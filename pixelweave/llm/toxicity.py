@@ -79,7 +79,7 @@ class Scorer:
 
     def _some(self, texts: list[str]) -> list[float]:
         m = self.model
-        chunks = Chunks(pa.array(texts, pa.large_string()))
+        chunks = Chunks.of(pa.array(texts, pa.large_string()))
         table = np.frombuffer(b"".join([self.parts[w] for w in chunks.distinct]) or bytes(4 * PARTS), np.int32).reshape(-1, PARTS)
         # row 0 is the blank that fills texts up to the widest filter
         projected = [np.vstack([np.zeros((1, FILTERS), np.float32), p.astype(np.float32)]) for p in m.projections(m.vectors(table))]
@@ -120,7 +120,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> Model:
     The first dimension starts as the log odds of a part between the classes, so that the maxima start at telling words.
     """
     rng = np.random.default_rng(seed)
-    chunks = Chunks(pa.array(texts, pa.large_string()))
+    chunks = Chunks.of(pa.array(texts, pa.large_string()))
     table = np.array([[0] * PARTS, *(parts(w) for w in chunks.distinct)], np.int32)
     pad = max(WIDTHS) - 1
     streams = [np.concatenate([chunks.which.to_numpy()[a:b] + 1 if b > a else [0], np.zeros(pad, np.int64)]).astype(np.int32) for a, b in zip(chunks.bounds, chunks.bounds[1:])]
