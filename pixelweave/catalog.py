@@ -176,7 +176,7 @@ def p15_ministack_assignment(spark, d):
     return sequential.assign_mini_stacks(X.bands(spark), 10).select("band", "date", "ministack", "label")
 
 
-@register(f"with {PX}, {LABELS} select y, x, pair, {R('e[pair + 1] + 2*pi()*(label - 3)')} phase from lb join px using (y, x)")
+@register(f"with {PX}, {LABELS} select y, x, pair, {R('e[pair + 1] + 2*pi()*(lb.label - 3)')} phase from lb join px using (y, x)")
 def p16_cycle_correction(spark, d):
     obs = X.pixels(spark, d).select("y", "x", F.posexplode(F.slice("e", 1, 4)).alias("pair", "phase"))
     u = X.labels(spark, d).select("y", "x", "pair", (F.col("label") - 3).alias("u"))
