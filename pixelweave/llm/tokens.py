@@ -69,6 +69,9 @@ def _byte_symbols() -> list[str]:
 
 SYMBOLS = _byte_symbols()
 
+#: In place of the merge that makes a token, for single symbols.
+_SYMBOL = (-1, "", "")
+
 _tokenizers: dict[str, object] = {}
 
 
@@ -107,6 +110,12 @@ class Memory(dict):
         return value
 
 
+def split(texts: pa.Array) -> pa.Array:
+    """Lists of what is between white space. Arrow looks past the end of a last text that ends in white space, so that
+    goes first."""
+    return pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(texts))
+
+
 class Chunks:
     """The parts of many texts: the distinct ones, and for each text which it has, in order.
 
@@ -125,7 +134,7 @@ class Chunks:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if pc.any(pc.match_substring_regex(texts, _CONTROL.pattern)).as_py():
             return cls(pa.array([chunks(t) for t in texts.to_pylist()], pa.large_list(pa.large_string())))
-        return cls(pc.utf8_split_whitespace(texts))
+        return cls(split(texts))
 
     def sums(self, each: list[int]) -> np.ndarray:
         """Sums over each text of what its chunks have."""
@@ -180,7 +189,7 @@ class Words:
         out = []
         if len(plain := texts.filter(pc.invert(odd))):
             spaced = pc.replace_substring_regex(pc.utf8_lower(plain), _BETWEEN, r" \1 ")
-            out.append((np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), Chunks(pc.utf8_split_whitespace(spaced))))
+            out.append((np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), Chunks(split(spaced))))
         if len(rest := texts.filter(odd)):
             words = [[w for c in chunks(t) for text, ws in self._parts(c) for w in ([_SPECIAL + text] if ws is None else ws)] for t in rest.to_pylist()]
             out.append((np.flatnonzero(odd.to_numpy(zero_copy_only=False)), Chunks(pa.array(words, pa.large_list(pa.large_string())))))
@@ -205,6 +214,7 @@ class PrefixCounts(Words):
         self.end = model["model"]["end_of_word_suffix"]
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
         self.rank = {m: i for i, m in enumerate(merges)}
+        self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(merges)}
         vocab = model["model"]["vocab"]
         # BPE must make a token of its own symbols, or it never appears
         self.inner = {t for t in vocab if not t.endswith(self.end)}
@@ -238,15 +248,35 @@ class PrefixCounts(Words):
 
     def _fit(self, a: str, b: str, final: int) -> bool:
         """Whether BPE makes a and b of their joined symbols (only b, where a is empty)."""
-        symbols = list(a + b)
-        if final:
-            symbols[-1] += self.end
         fits = self.fits[final]
         if len(fits) > FITS:
             fits.clear()
-        fits[a, b] = known = self.bpe(symbols) == [*([a] if a else []), b + self.end * final]
+        right = b + self.end * final
+        if a:
+            known = (fits["", b] if ("", b) in fits else self._fit("", b, final)) and self._apart(a, right)
+        else:
+            known = self.bpe([*b[:-1], b[-1] + self.end * final]) == [right]
+        fits[a, b] = known
         return known
 
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether no merge crosses the border of two tokens while they come about.
+
+        Their merges are undone from the last one on. A merge across what is then at the border would have come first if
+        its rank is below that of the merge undone; of equal ranks the one further left comes first.
+        """
+        limit = len(self.rank)
+        while True:
+            if self.rank.get((left, right), limit) < limit:
+                return False
+            of_left, of_right = self.made.get(left, _SYMBOL), self.made.get(right, _SYMBOL)
+            if of_left[0] > of_right[0]:
+                limit, left = of_left[0], of_left[2]
+            elif of_right is _SYMBOL:
+                return True
+            else:
+                limit, right = of_right[0] + 1, of_right[1]
+
     def _word(self, word: str) -> bytes | array:
         """Tokens of each prefix of a word, as a word of its own, by code points; entry 0 is the empty prefix."""
         s = "".join(map(SYMBOLS.__getitem__, word.encode()))

@@ -233,6 +233,10 @@ def test_counts_and_ids_are_the_librarys(spark, sf, library):
     want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.op4_prefix_token_counts(spark, sf).collect()
     assert {r.doc_id: r.n_tokens for r in got} == want and all(r.over_limit == (r.n_tokens > 2048) and r.fit_tokens <= 2048 for r in got)
+    ids, counts = tokens.Ids(tokens.vocabulary()), tokens.PrefixCounts(tokens.vocabulary())
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():  # one at a time and with blanks around it, too
+        for t in (r.text, f" {r.text} \n\t"):
+            assert array("I", ids.encode(t)).tolist() == library.encode(t, add_special_tokens=False).ids and counts.total(t) == want[r.doc_id]
     rows = tokens.token_counts(odd(spark), tokens.vocabulary(), prefixes=True).collect()
     assert len(rows) == 13 and {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {0}
     for r in rows:
