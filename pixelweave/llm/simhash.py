@@ -213,116 +213,143 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return classes(prints, radius).select("doc_id", "fp", "component_id")
 
 
-# ---- near copies of a given similarity: long fingerprints ---------------------------------------------------------
+# ---- near copies of a given similarity: sets of shingles ----------------------------------------------------------
 
-#: Words of a shingle, the similarity (Jaccard, of sets of shingles) and the 64-bit words of a fingerprint.
-NEAR_SHINGLE, NEAR_SIMILARITY, WORDS = 5, 0.8, 4
+#: Words of a shingle, and the similarity (Jaccard, of sets of shingles).
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
-#: Nodes that a shard has on average, those that it has at most, the chance that a pair at the similarity meets in a shard,
-#: and by how many deviations of its distance the radius is above the mean.
-MEET, CROWD, RECALL, MARGIN = 256, 4096, 0.95, 0.7
+#: Rows of a key that a part has about, documents that the order of shingles is taken from, and shingles that it names.
+CROWD, SAMPLE, COMMON = 1024, 20_000, 100_000
 
-# Odd numbers that make further hashes of one: any would do.
-_SPREAD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: Far above the rounding of a product of the similarity, far below one shingle.
+_EPS = 1e-6
 
 
-def differing(similarity: float) -> float:
-    """The share of bits in which sets of that Jaccard similarity differ on average: the angle between them over pi."""
-    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-
-
-def near_radius(similarity: float = NEAR_SIMILARITY, words: int = WORDS) -> int:
-    p, n = differing(similarity), BITS * words
-    return int(n * p + MARGIN * (n * p * (1 - p)) ** 0.5)
-
-
-def long_fingerprint(text: bytes | None, shingle: int = NEAR_SHINGLE, words: int = WORDS) -> list[int]:
-    """As fingerprint(), over distinct shingles and with more bits; no word gives zeros."""
+def shingle_set(text: bytes | None, shingle: int = NEAR_SHINGLE) -> bytes:
+    """The sorted 64-bit hashes of the distinct shingles of a whole text, words as in fingerprint(); no word gives none."""
     parts = (text or b"").lower().split()
     if not parts:
-        return [0] * words
+        return b""
     joined = b" ".join(parts)
     ends = np.cumsum([len(w) + 1 for w in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(parts) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     every = {digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(parts)) - 1 :].tolist())}
-    h = np.fromiter(every, np.uint64, len(every))
-    out = []
-    for k in range(words):
-        v = h * np.uint64(_SPREAD[k])
-        v ^= v >> np.uint64(29)
-        v *= np.uint64(_SPREAD[(k + 1) % words])
-        v ^= v >> np.uint64(32)
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(v), BLOCK):
-            counts += np.unpackbits(v[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(signed(int(np.packbits(2 * counts > len(v), bitorder="little").view("<u8")[0])))
-    return out
-
-
-def _nearest(ids: list[int], values: list[list[int]], radius: int) -> list[tuple[int, int]]:
-    """For each member of a shard a link to the nearest one at the radius or less, and to the nearest of those before it."""
-    ids_, v = np.array(ids, np.int64), np.array(values, np.int64).view(np.uint64)
-    q, node = BKTree(v).within(v, radius)
-    keep = q != node
-    q, node = q[keep], node[keep]
-    d = distances(v[q], v[node])
-    out = set()
-    for before in (False, True):
-        part = np.flatnonzero(node < q) if before else np.arange(len(q))
-        order = part[np.lexsort((node[part], d[part], q[part]))]
-        first = order[np.unique(q[order], return_index=True)[1]] if len(order) else order
-        out |= {(max(a, b), min(a, b)) for a, b in zip(ids_[q[first]].tolist(), ids_[node[first]].tolist())}
-    return list(out)
-
-
-def near_links(nodes: DataFrame, radius: int, seed: int = 5) -> DataFrame:
-    """Links (a, b) of nodes (id, fp: array of longs) at the radius or less.
-
-    Nodes that agree on all of a random choice of bits share a shard; there are so many choices that a pair at the
-    similarity meets in one with probability RECALL. A shard of more than CROWD nodes is dealt into parts by a hash that
-    differs from choice to choice: its nodes are near copies for the most part, so that each finds others in any part.
+    return np.sort(np.fromiter(every, "<u8", len(every))).tobytes()
+
+
+def similar(a: bytes, b: bytes, similarity: float = NEAR_SIMILARITY) -> bool:
+    """Whether the Jaccard similarity of two sets is reached, exactly."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared + _EPS >= similarity * (len(x) + len(y) - shared)
+
+
+def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of (count, hash), so many that similar sets share one of them."""
+    rank = np.zeros(len(values), np.int64)
+    if len(common) and len(values):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        rank = np.where(common[at] == values, counts[at], 0)
+    order = np.lexsort((values, rank))
+    return values[order[: len(values) - int(np.ceil(similarity * len(values) - _EPS)) + 1]]
+
+
+def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of the nodes, sorted, and their counts. Any list gives the same links: it only
+    moves common shingles to the end of the order, so that few documents meet at them."""
+    every = max(1, nodes.count() // SAMPLE)
+    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("set")
+    words = map_batches(some, lambda cols: [[np.frombuffer(v, "<i8") for v in cols[0]]], "v array<long>").select(F.explode("v").alias("v"))
+    top = words.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "v").limit(COMMON).collect()
+    v, n = np.array([r.v for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(v)
+    return v[order], n[order]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar."""
+    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+
+    def work(cols: list[list]) -> list[list]:
+        found = [(a, b) for a, b, x, y in zip(*cols) if similar(x, y, similarity)]
+        return [[e[0] for e in found], [e[1] for e in found]]
+
+    return map_batches(both.select("a", "b", "sa", "sb"), work, "a long, b long")
+
+
+def _candidates(ids: list, roots: list, at: list, n: list, part: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a part, or between two parts, of the rows of one key that may be similar and are not linked yet.
+
+    Sizes may differ by the similarity at most, and what follows the key in both sets must suffice. That bound holds for
+    the first key that two sets share, at which a similar pair is found.
+    """
+    i, r, p, m, g = (np.array(x, np.int64) for x in (ids, roots, at, n, part))
+    one, other = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
+    left = (m - p)[one, None]
+    fits = np.minimum(left, (m - p)[other]) + _EPS >= similarity / (1 + similarity) * (m[one, None] + m[other])
+    fits &= np.minimum(m[one, None], m[other]) + _EPS >= similarity * np.maximum(m[one, None], m[other])
+    x, y = np.nonzero(fits & (r[one, None] != r[other]))
+    a, b = i[one[x]], i[other[y]]
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    if g.min() == g.max():  # each pair was found both ways
+        once = one[x] < other[y]
+        a, b = a[once], b[once]
+    return a, b
+
+
+def near_links(nodes: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """Links (a, b), a > b, that span what is linked by pairs of nodes (id, set) of that similarity. No pair is left out.
+
+    Similar sets share one of the first shingles of each, in an order that all sets have in common (prefix filter): these
+    are keys. Each row of a key first meets the least node of its key. After that only pairs that are not linked yet are
+    of use, so a group of near copies is not expanded into pairs. They meet in parts of about CROWD rows of a key, each
+    part with each other. Every link is one of a pair whose sets were compared whole.
     """
-    n = max(nodes.count(), 1)
-    bits = int(np.clip(round(np.log2(n / MEET)), 4, 40))
-    choices = max(1, int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differing(NEAR_SIMILARITY)) ** bits))))
-    rng = np.random.default_rng(seed)
-    keys = []
-    for k in range(choices):
-        masks = [0] * WORDS
-        for bit in rng.choice(BITS * WORDS, bits, replace=False).tolist():
-            masks[bit // BITS] |= 1 << (bit % BITS)
-        keys.append(F.xxhash64(F.lit(k), *[F.col("fp")[w].bitwiseAND(signed(m)) for w, m in enumerate(masks)]))
-    dealt = nodes.select("id", "fp", F.posexplode(F.array(*keys)).alias("k", "key"))
-    sizes = checkpoint(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    parts = F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("id", "k"), F.ceil(F.col("n") / CROWD))).otherwise(F.lit(0))
-    shards = dealt.join(sizes, "key").groupBy("key", parts.alias("part")).agg(F.collect_list(F.struct("id", "fp")).alias("m")).where(F.size("m") > 1)
-    shards = shards.select(F.transform("m", lambda m: m["id"]).alias("ids"), F.transform("m", lambda m: m["fp"]).alias("fps"))
-    found = map_batches(shards, lambda cols: _split([e for i, v in zip(*cols) for e in _nearest(i, v, radius)], cols), "a array<long>, b array<long>", 64)
-    return found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
-
-
-def near_classes(prints: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """prints (fp and more) with root: equal for near copies. Equal fingerprints are one node, of a 64-bit hash of theirs."""
-    rows = prints.withColumn("id", F.xxhash64("fp"))
-    nodes = checkpoint(rows.groupBy("id").agg(F.min("fp").alias("fp")))
-    roots = checkpoint(components(near_links(nodes, near_radius(similarity))))
-    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
+    common, counts = _common(nodes)
+
+    def work(cols: list[list]) -> list[list]:
+        sets = [np.frombuffer(v, "<u8") for v in cols[1]]
+        return [cols[0], [len(v) for v in sets], [prefix(v, common, counts, similarity).view(np.int64) if len(v) else [] for v in sets]]
+
+    rows = map_batches(nodes.select("id", "set"), work, "id long, n long, keys array<long>").select("id", "n", F.posexplode("keys").alias("at", "key"))
+    lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1")
+    shared = checkpoint(rows.join(lead, "key"))
+    pairs = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    first = checkpoint(_verified(pairs, nodes, similarity))
+    roots = components(first).withColumnRenamed("node", "id")
+    own = checkpoint(shared.where("c > 2").select("key", "id", "n", "at", "c").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    of = F.ceil(F.col("c") / CROWD)
+    own = own.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), of))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), of - 1), lambda q: F.struct(F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi")))
+    blocks = own.withColumn("meet", F.explode(meet)).groupBy("key", "meet").agg(F.collect_list(F.struct("id", "root", "at", "n", "part")).alias("m")).where(F.size("m") > 1)
+    blocks = blocks.select(*[F.col("m")[c].alias(c) for c in ("id", "root", "at", "n", "part")])
+    found = map_batches(blocks, lambda cols: list(map(list, zip(*[_candidates(*row, similarity) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 16)
+    rest = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    return first.unionByName(_verified(rest, nodes, similarity))
+
+
+def near_classes(sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """sets (set and more) with root for set: equal for near copies. Equal sets are one node, of a 64-bit hash of theirs."""
+    rows = sets.withColumn("id", F.xxhash64("set"))
+    nodes = checkpoint(rows.groupBy("id").agg(F.first("set").alias("set")))
+    roots = checkpoint(components(near_links(nodes, similarity)))
+    return rows.drop("set").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """df's rows, all columns, one of each group of near copies: that of the smallest id (null ids last), then of the least
     text hash.
 
-    Near copies are linked by long fingerprints of sets of five-word shingles within the radius of the similarity, which a
-    distance estimates to a few hundredths. Null, empty and blank texts are one group. Of repeated rows one stays. Empty
-    table: no rows.
+    Near copies are linked by pairs whose sets of five-word shingles have the similarity or more, exactly. Null, empty and
+    blank texts are one group. Of repeated rows one stays. Empty table: no rows.
     """
     text = F.col(f"`{text_col}`")
     mark = F.xxhash64(text)
-    fp = row_udf(lambda texts: [long_fingerprint(t, shingle) for t in texts], "array<long>")(text.cast("string").cast("binary"))
-    prints = checkpoint(df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), fp.alias("fp")))
+    found = row_udf(lambda texts: [shingle_set(t, shingle) for t in texts], "binary")(text.cast("string").cast("binary"))
+    prints = checkpoint(df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), found.alias("set")))
     every = near_classes(prints, similarity)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     kept = checkpoint(every.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.mark").alias("__k_mark")))

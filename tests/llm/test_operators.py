@@ -173,6 +173,40 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {g[0] for g in groups}
 
 
+def _sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def _firsts(texts, similarity=0.8):
+    """The least index of each group of near copies, by all pairs."""
+    sets, root = _sets(texts), list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 10 * similarity * len(sets[i] | sets[j]) and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return {i for i, r in enumerate(root) if i == r}
+
+
+def _kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in simhash.keep_one(df).collect()}
+
+
+def test_near_copies_close_to_the_threshold_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(220)]
+        tail = int(round(216 * (0.78 + 0.07 * g / 150)))  # the copy has the base's first shingles only
+        texts += [" ".join(base), " ".join(base[: tail + 4])]
+    likeness = [len(a & b) / len(a | b) for a, b in zip(_sets(texts)[::2], _sets(texts)[1::2])]
+    assert min(likeness) < 0.79 and max(likeness) > 0.84
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    assert _kept(spark, texts) == _firsts(texts)
+
+
 def test_one_of_each_odd_group_stays(spark):
     out = simhash.keep_one(odd(spark))
     assert out.columns == odd(spark).columns
