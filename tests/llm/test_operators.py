@@ -207,6 +207,16 @@ def test_near_copies_close_to_the_threshold_equal_all_pairs(spark):
     assert _kept(spark, texts) == _firsts(texts)
 
 
+def test_crowds_that_share_a_passage_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 8)
+    passage, texts = [f"p{i}" for i in range(200)], []
+    for g in range(40):  # similar to others at about 0.67, or at 0.82 and more to one
+        own = [f"g{g}w{i}" for i in range(50)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:25], *[f"h{g}w{i}" for i in range(16)]])]
+    texts += [" ".join([*passage, *[f"k{g}w{i}" for i in range(24)]]) for g in range(40)]
+    assert _kept(spark, texts) == _firsts(texts)
+
+
 def test_one_of_each_odd_group_stays(spark):
     out = simhash.keep_one(odd(spark))
     assert out.columns == odd(spark).columns
