@@ -217,6 +217,15 @@ def test_crowds_that_share_a_passage_lose_no_pair(spark, monkeypatch):
     assert _kept(spark, texts) == _firsts(texts)
 
 
+def test_a_link_between_two_closer_pairs_stays(spark):
+    texts = []
+    for g in range(60):  # a-b and c-e are closest, b-c is within the threshold, and no other pair is
+        w = [f"g{g}w{i}" for i in range(300)]
+        texts += [" ".join(w[k : k + 204]) for k in (0, 31, 43, 12)]
+    assert _firsts(texts) == set(range(0, 240, 4))
+    assert _kept(spark, texts) == _firsts(texts)
+
+
 def test_one_of_each_odd_group_stays(spark):
     out = simhash.keep_one(odd(spark))
     assert out.columns == odd(spark).columns
