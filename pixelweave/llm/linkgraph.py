@@ -8,7 +8,7 @@ A host is blocked where its distrust is above its trust times a threshold. A hos
 from __future__ import annotations
 
 import string
-from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 DAMPING, ROUNDS, THRESHOLD, LINEAGE = 0.85, 12, 1.0, 4
 
+#: What the last LINEAGE rounds may change of all mass at most, the seeds' mass being 1 - DAMPING.
+TOLERANCE = 1e-12
+
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'>\s]+)"
 
 
@@ -56,10 +59,11 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return ends.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, links) and seeds (host, allowed, blocked), in pages.
 
-    Mass of a host without links to follow is not dealt out again. Both scores are shares of all seeds.
+    Mass of a host without links to follow is not dealt out again. Both scores are shares of all seeds. Without a number of
+    rounds, mass spreads until LINEAGE rounds reach no further host and change no more than TOLERANCE of it.
     """
     both = edges.select(F.lit(True).alias("good"), "src", "dst", "links").unionByName(edges.select(F.lit(False).alias("good"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     total = both.groupBy("good", "src").agg(F.sum("links").alias("all"))
@@ -67,13 +71,18 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     long = seeds.select(F.explode(F.array(F.struct(F.lit(True).alias("good"), "host", F.col("allowed").alias("n")), F.struct(F.lit(False).alias("good"), "host", F.col("blocked").alias("n")))).alias("s")).select("s.*").where("n > 0")
     pages = long.agg(F.sum("n")).first()[0] or 1
     start = checkpoint(long.select("good", "host", (F.col("n") * ((1 - damping) / pages)).alias("mass")))
-    state = start
+    state, before = start, None
     if not both.isEmpty():
-        for k in range(rounds):
+        for k in count() if rounds is None else range(rounds):
             moved = state.join(both.withColumnRenamed("src", "host"), ["good", "host"]).select("good", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
             state = start.unionByName(moved).groupBy("good", "host").agg(F.sum("mass").alias("mass"))
             if k % LINEAGE == LINEAGE - 1:
                 state = checkpoint(state)
+                # mass only grows from round to round, so the change of its sum is the sum of all changes
+                now = state.agg(F.count(F.lit(1)), F.coalesce(F.sum("mass"), F.lit(0.0))).first() if rounds is None else None
+                if before and now[0] == before[0] and now[1] - before[1] <= TOLERANCE:
+                    break
+                before = now
     score = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("mass"))), F.lit(0.0))
     return state.groupBy("host").agg(score(True).alias("trust"), score(False).alias("distrust"))
 
@@ -88,9 +97,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     url = F.col(f"`{url_col}`")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
-    count = lambda v: F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)).alias(v + "ed")
-    seeds = rows.groupBy("host").agg(count("allow"), count("block"))
-    scores = checkpoint(spread(host_edges(pages, url_col, html_col), seeds))
+    number = lambda v: F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)).alias(v + "ed")
+    seeds = rows.groupBy("host").agg(number("allow"), number("block"))
+    scores = checkpoint(spread(host_edges(pages, url_col, html_col), seeds, rounds=None))
     by_method = F.when(F.col("distrust") > F.col("trust") * threshold, "block").otherwise("allow")
     out = rows.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_method).alias("verdict"), "trust", "distrust")

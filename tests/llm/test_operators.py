@@ -344,6 +344,25 @@ def test_links_to_blocked_hosts_block(spark):
     assert {r.page_id: r.verdict for r in linkgraph.judge(df).collect()} == {0: "block", 1: "block", 2: "allow", 3: "allow"}
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 18
+    rows = [(i, f"http://c{i}.net/1", f'<a href="http://c{i + 1}.net/1">') for i in range(n)] + [(n, f"http://c{n}.net/1", '<a href="http://bad.com/de/1">'), (n + 1, "http://bad.com/de/1", "")]
+    got = linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.verdict for r in got} == {"block"}
+    assert all(np.isclose(r.distrust, 0.15 * 0.85 ** (n + 1 - r.page_id), rtol=1e-9, atol=0) for r in got)
+
+
+def test_converged_propagation_solves_the_equations(spark):
+    w = np.array([[0, 2, 0, 1], [1, 0, 3, 0], [1, 0, 0, 1], [0, 1, 1, 0]])
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(w[i, j])) for i in range(4) for j in range(4) if w[i, j]], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("h0", 3, 0), ("h1", 0, 2)], "host string, allowed long, blocked long")
+    got = {r.host: (r.trust, r.distrust) for r in linkgraph.spread(edges, seeds, damping=0.5, rounds=None).collect()}
+    for k, (m, start) in enumerate(((w, [3, 0, 0, 0]), (w.T, [0, 2, 0, 0]))):
+        share = m / m.sum(axis=1, keepdims=True)
+        want = np.linalg.solve(np.eye(4) - 0.5 * share.T, 0.5 / 5 * np.array(start))
+        assert np.allclose([got[f"h{i}"][k] for i in range(4)], want, rtol=0, atol=1e-11)
+
+
 # ---- 6, 10
 
 
