@@ -586,7 +586,7 @@ def o31_toporesidual(spark, d):
 def t6_grid_search_2d(spark, d):
     k = 4 * pi / 0.056
     z = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct(F.col("e")[2 * i].alias("re"), F.col("e")[2 * i + 1].alias("im"), (X.bperp(i) * (k / 850e3 / np.sin(np.radians(34)))).alias("kb"), (i * (12 / 365.25 * k)).alias("kt")))
-    out = topo.grid_search_2d(X.pixels(spark, d).where("y < 8").select("y", "x", z.alias("z")), n=11, zooms=2)
+    out = topo.grid_search_2d(X.pixels(spark, d).select("y", "x", z.alias("z")))
     return out.select("y", "x", rnd("coh", 4).alias("coh"))
 
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelweave import catalog
+from pixelweave import fixtures as X
 from pixelweave.functions import stats, timefn
 from pixelweave.model import RasterError, to_long, to_wide
 from pixelweave.operators import amplitude, closure, fit, neighbours, phaselink, sbas, sequential, simulate, spectral, topo
@@ -223,6 +225,22 @@ def test_rate_and_height_of_arcs_are_found(spark):
     assert np.allclose(nodes, range(6))
 
 
+def test_grid_search_2d_equals_brute_force_over_all_pixels(spark, sf):
+    df = X.pixels(spark, sf)
+    got = {(r.y, r.x): r.coh for r in catalog.queries()["t6_grid_search_2d"](spark, sf).collect()}
+    assert set(got) == {(r.y, r.x) for r in df.collect()}
+    k, i = 4 * np.pi / 0.056, np.arange(12)
+    kb = (i * 37 % 41 - 20) * 20.0 * k / 850e3 / np.sin(np.radians(34))
+    kt, grid = i * (12 / 365.25 * k), np.linspace(-1, 1, 21)
+    for r in df.orderBy(F.desc("y"), "x").limit(5).collect():
+        z = np.array(r.e[0:24:2]) + 1j * np.array(r.e[1:24:2])
+        h, v, half, best = 0.0, 0.0, (40.0, 0.05), 0.0
+        for _ in range(3):
+            best, h, v = max(((round(abs((z * np.exp(-1j * (a * kb + b * kt))).sum()) / np.abs(z).sum(), 12), a, b) for a in h + grid * half[0] for b in v + grid * half[1]), key=lambda c: c[0])
+            half = (half[0] / 5, half[1] / 5)
+        assert np.isclose(got[r.y, r.x], best, atol=1e-4)
+
+
 def test_nonlinear_fit_recovers_decay(spark):
     t = np.arange(0, 3, 0.05)
     d = 1 + 0.5 * t + (t > 1.2) * (0.8 + 0.6 * np.log10(1 + np.where(t > 1.2, t - 1.2, 0) / 0.1))
