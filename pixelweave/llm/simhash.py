@@ -20,10 +20,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, row_udf
+from ..plans.components import components
+from .common import checkpoint, join_small, map_batches, row_udf
+from .tokens import Memory
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 
@@ -171,27 +173,6 @@ def _split(edges: list[tuple[int, int]], cols: list[list]) -> list[list]:
     return [[[e[0] for e in edges], *rest], [[e[1] for e in edges], *rest]] if cols[0] else [[], []]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of the links (a, b); the root is the least node of a component.
-
-    Large-star then small-star, until the links stay: all nodes then hang on their root. A node's neighbours are only
-    ever reduced to their least by a partial aggregation, and its links are joined by a shuffle that Spark can split.
-    """
-    edges, before = checkpoint(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct()), None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = checkpoint(small.where(F.col("a") != F.col("b")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = now
-
-
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """prints (doc_id, fp and more) with component_id, the smallest doc_id of its component, and root, its least fingerprint."""
     own = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -213,148 +194,235 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return classes(prints, radius).select("doc_id", "fp", "component_id")
 
 
-# ---- near copies of a given similarity: sets of shingles ----------------------------------------------------------
+# ---- near copies of a given similarity: SimHash, BK-trees, and a check of whole sets ------------------------------
 
 #: Words of a shingle, and the similarity (Jaccard, of sets of shingles).
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
-#: Rows of a key that a part has about, documents that the order of shingles is taken from, and shingles that it names.
-CROWD, SAMPLE, COMMON = 1024, 20_000, 100_000
+#: Bits of a fingerprint of a set, and the distance up to which two sets are compared whole. Bits of sets of similarity
+#: 0.8 differ with probability 0.15, of sets of a few shingles 0.19 at most, so 80 of 256 is five deviations above the
+#: mean for these and seven for others: a similar pair is farther apart with a probability below 1e-6.
+NEAR_BITS, NEAR_RADIUS = 256, 80
+
+#: Rows of a shard, texts that the order of shingles is taken from, and shingles that it names.
+CROWD, SAMPLE, COMMON = 1024, 2000, 100_000
 
 #: Far above the rounding of a product of the similarity, far below one shingle.
 _EPS = 1e-6
 
+#: Odd 64-bit factors for the places of a shingle, and for the four numbers of a fingerprint.
+_PLACES = np.array([2 * xxhash.xxh64_intdigest(bytes([k]), SEED) + 1 & 2**64 - 1 for k in range(64)], np.uint64)
+_PRINTS = _PLACES[: NEAR_BITS // BITS]
 
-def shingle_set(text: bytes | None, shingle: int = NEAR_SHINGLE) -> bytes:
-    """The sorted 64-bit hashes of the distinct shingles of a whole text, words as in fingerprint(); no word gives none."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return b""
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    every = {digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(parts)) - 1 :].tolist())}
-    return np.sort(np.fromiter(every, "<u8", len(every))).tobytes()
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers to well-mixed ones, one to one."""
+    for factor in _PLACES[-2:]:
+        h = (h ^ (h >> np.uint64(32))) * factor
+    return h ^ (h >> np.uint64(32))
+
+
+class ShingleSets:
+    """Sets of 64-bit hashes of the shingles of texts; the hashes of words are remembered in bounded generations."""
+
+    def __init__(self, shingle: int = NEAR_SHINGLE):
+        self.shingle, self.words = shingle, Memory(lambda w: xxhash.xxh64_intdigest(w, SEED), 200_000)
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """The sorted hashes of the distinct shingles of a whole text, words as in fingerprint(); no word gives none. Fewer
+        words than a shingle has are one shingle."""
+        words = (text or b"").lower().split()
+        if not words:
+            return np.empty(0, np.uint64)
+        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        width = min(self.shingle, len(h))
+        n = len(h) - width + 1
+        sums = np.full(n, width, np.uint64)
+        for k in range(width):
+            sums += h[k : k + n] * _PLACES[k]
+        return np.unique(_mixed(sums))
 
-def similar(a: bytes, b: bytes, similarity: float = NEAR_SIMILARITY) -> bool:
+
+def set_print(values: np.ndarray) -> np.ndarray:
+    """The SimHash of a set as NEAR_BITS / 64 numbers: a bit is 1 if it is set in over half of the members' hashes."""
+    counts = np.zeros(NEAR_BITS, np.int64)
+    for at in range(0, len(values), 255):  # as many as a byte counts
+        bits = np.unpackbits(_mixed(values[at : at + 255, None] + _PRINTS).view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(values), bitorder="little").view(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float = NEAR_SIMILARITY) -> bool:
     """Whether the Jaccard similarity of two sets is reached, exactly."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if min(len(x), len(y)) + _EPS < similarity * max(len(x), len(y)):
+        return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared + _EPS >= similarity * (len(x) + len(y) - shared)
 
 
 def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set in the order of (count, hash), so many that similar sets share one of them."""
-    rank = np.zeros(len(values), np.int64)
     if len(common) and len(values):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
         rank = np.where(common[at] == values, counts[at], 0)
-    order = np.lexsort((values, rank))
-    return values[order[: len(values) - int(np.ceil(similarity * len(values) - _EPS)) + 1]]
+        if rank.any():
+            values = values[np.argsort(rank, kind="stable")]
+    return values[: len(values) - int(np.ceil(similarity * len(values) - _EPS)) + 1]
+
+
+def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles that are common in a sample of the distinct texts (mark, text), sorted, their counts, and the texts that
+    one of the sample stands for. Any list gives the same links: it only moves common shingles to the end of the order, so
+    that few documents meet at them, and tells which need several shards from the start."""
+    every = max(1, rows // SAMPLE)
+    some = texts.where(F.pmod("mark", F.lit(every)) == 0).groupBy("mark").agg(F.first("text").alias("text")).select("text")
+    made: list[ShingleSets] = []
 
+    def work(cols: list[list]) -> list[list]:
+        made[:] = made or [ShingleSets(shingle)]
+        return [[made[0].of(t).view(np.int64) for t in cols[0]]]
 
-def _common(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of the nodes, sorted, and their counts. Any list gives the same links: it only
-    moves common shingles to the end of the order, so that few documents meet at them."""
-    every = max(1, nodes.count() // SAMPLE)
-    some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("set")
-    words = map_batches(some, lambda cols: [[np.frombuffer(v, "<i8") for v in cols[0]]], "v array<long>").select(F.explode("v").alias("v"))
+    words = map_batches(some, work, "v array<long>").select(F.explode("v").alias("v"))
     top = words.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "v").limit(COMMON).collect()
     v, n = np.array([r.v for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(v)
-    return v[order], n[order]
+    return v[order], n[order], every
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar."""
-    both = pairs.join(nodes.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+def _described(texts: DataFrame, common: np.ndarray, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """texts (doc_id, mark, text) as rows (doc_id, mark, id, n, fp, keys): the set's own hash, size, fingerprint and prefix."""
+    made: list[ShingleSets] = []
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def work(cols: list[list]) -> list[list]:
-        found = [(a, b) for a, b, x, y in zip(*cols) if similar(x, y, similarity)]
-        return [[e[0] for e in found], [e[1] for e in found]]
+        made[:] = made or [ShingleSets(shingle)]
+        sets = [made[0].of(t) for t in cols[2]]
+        ids = [signed(xxhash.xxh64_intdigest(v.tobytes(), SEED)) for v in sets]
+        return [cols[0], cols[1], ids, list(map(len, sets)), [set_print(v) for v in sets], [prefix(v, common, counts, similarity).view(np.int64) for v in sets]]
 
-    return map_batches(both.select("a", "b", "sa", "sb"), work, "a long, b long")
+    return map_batches(texts.select("doc_id", "mark", "text"), work, f"doc_id {kind}, mark long, id long, n long, fp array<long>, keys array<long>")
 
 
-def _candidates(ids: list, roots: list, at: list, n: list, part: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a part, or between two parts, of the rows of one key that may be similar and are not linked yet.
+def _near(similarity: float) -> Column:
+    """Whether two sets (n and fp, m and gp) may be similar, by their sizes and fingerprints."""
+    far = reduce(lambda a, b: a + b, [F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("gp")[k])) for k in range(NEAR_BITS // BITS)])
+    return (F.least("n", "m") + _EPS >= similarity * F.greatest("n", "m")) & (far <= NEAR_RADIUS)
 
-    Sizes may differ by the similarity at most, and what follows the key in both sets must suffice. That bound holds for
-    the first key that two sets share, at which a similar pair is found.
-    """
-    i, r, p, m, g = (np.array(x, np.int64) for x in (ids, roots, at, n, part))
+
+def _tree_pairs(ids: list, roots: list, n: list, fp: list, part: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one shard, or between two shards of the same key, that may be similar and are not linked yet."""
+    i, r, m, g = (np.array(x, np.int64) for x in (ids, roots, n, part))
+    prints = np.array(fp, np.int64).view(np.uint64)
     one, other = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
-    left = (m - p)[one, None]
-    fits = np.minimum(left, (m - p)[other]) + _EPS >= similarity / (1 + similarity) * (m[one, None] + m[other])
-    fits &= np.minimum(m[one, None], m[other]) + _EPS >= similarity * np.maximum(m[one, None], m[other])
-    x, y = np.nonzero(fits & (r[one, None] != r[other]))
-    a, b = i[one[x]], i[other[y]]
-    a, b = np.maximum(a, b), np.minimum(a, b)
-    if g.min() == g.max():  # each pair was found both ways
-        once = one[x] < other[y]
-        a, b = a[once], b[once]
-    return a, b
-
-
-def near_links(nodes: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """Links (a, b), a > b, that span what is linked by pairs of nodes (id, set) of that similarity. No pair is left out.
-
-    Similar sets share one of the first shingles of each, in an order that all sets have in common (prefix filter): these
-    are keys. Each row of a key first meets the least node of its key. After that only pairs that are not linked yet are
-    of use, so a group of near copies is not expanded into pairs. They meet in parts of about CROWD rows of a key, each
-    part with each other. Every link is one of a pair whose sets were compared whole.
-    """
-    common, counts = _common(nodes)
+    q, node = BKTree(prints[other]).within(prints[one], NEAR_RADIUS)
+    x, y = one[q], other[node]
+    fits = (r[x] != r[y]) & (np.minimum(m[x], m[y]) + _EPS >= similarity * np.maximum(m[x], m[y]))
+    a, b = i[x[fits]], i[y[fits]]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose whole sets are similar. Only texts of the pairs are read into the join, one for each set."""
+    pairs = checkpoint(pairs)
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(info.select("id", F.col("mark").alias("m")), "id"))
+    found = join_small(texts.select("mark", "text"), wanted, F.col("mark") == F.col("m"), wanted.count(), "inner").groupBy("id").agg(F.first("text").alias("text"))
+    found = checkpoint(found)
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    made: list[ShingleSets] = []
+    last: list = [None, None]
 
     def work(cols: list[list]) -> list[list]:
-        sets = [np.frombuffer(v, "<u8") for v in cols[1]]
-        return [cols[0], [len(v) for v in sets], [prefix(v, common, counts, similarity).view(np.int64) if len(v) else [] for v in sets]]
-
-    rows = map_batches(nodes.select("id", "set"), work, "id long, n long, keys array<long>").select("id", "n", F.posexplode("keys").alias("at", "key"))
-    lead = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1")
-    shared = checkpoint(rows.join(lead, "key"))
-    pairs = shared.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    first = checkpoint(_verified(pairs, nodes, similarity))
-    roots = components(first).withColumnRenamed("node", "id")
-    own = checkpoint(shared.where("c > 2").select("key", "id", "n", "at", "c").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    of = F.ceil(F.col("c") / CROWD)
-    own = own.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("id"), of))
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), of - 1), lambda q: F.struct(F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi")))
-    blocks = own.withColumn("meet", F.explode(meet)).groupBy("key", "meet").agg(F.collect_list(F.struct("id", "root", "at", "n", "part")).alias("m")).where(F.size("m") > 1)
-    blocks = blocks.select(*[F.col("m")[c].alias(c) for c in ("id", "root", "at", "n", "part")])
-    found = map_batches(blocks, lambda cols: list(map(list, zip(*[_candidates(*row, similarity) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 16)
-    rest = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    return first.unionByName(_verified(rest, nodes, similarity))
-
-
-def near_classes(sets: DataFrame, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """sets (set and more) with root for set: equal for near copies. Equal sets are one node, of a 64-bit hash of theirs."""
-    rows = sets.withColumn("id", F.xxhash64("set"))
-    nodes = checkpoint(rows.groupBy("id").agg(F.first("set").alias("set")))
-    roots = checkpoint(components(near_links(nodes, similarity)))
-    return rows.drop("set").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).drop("id")
+        made[:] = made or [ShingleSets(shingle)]
+        out: list[list] = [[], []]
+        for a, b, ta, tb in zip(*cols):
+            if last[0] != b:  # many members meet the same one
+                last[:] = b, made[0].of(tb)
+            if similar(made[0].of(ta), last[1], similarity):
+                out[0].append(a)
+                out[1].append(b)
+        return out
+
+    return checkpoint(map_batches(both.select("a", "b", "ta", "tb"), work, "a long, b long", 64))
+
+
+def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """doc_id, mark, root for each row of texts (doc_id, mark: a hash of the text, text): root is equal for near copies.
+
+    1. Equal sets are one node, with its size and a SimHash fingerprint.
+    2. Similar sets share one of the first shingles of each, in an order that all sets have in common (prefix filter), so
+       nodes are dealt into shards by these: no similar pair misses each other. A shingle that is common in a sample has
+       several shards from the start.
+    3. Each node meets the least and the greatest node of its shard. After that only pairs that are not linked yet are of
+       use, so a group of near copies is not expanded into pairs.
+    4. They are found by the BK-trees of a key's shards of about CROWD rows, each shard with each other.
+    5. Every pair near enough by its fingerprints is compared by whole sets; components of these links are the classes.
+    """
+    common, counts, every = _common(texts, rows, shingle)
+    prints = checkpoint(_described(texts, common, counts, shingle, similarity))
+    info = checkpoint(prints.groupBy("id").agg(F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    size = info.select("id", "n", "fp")
+    # equal sets have equal keys: each key of a node once
+    keys = prints.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("key"))
+    hot = [(int(v), int(-(-n * every // CROWD))) for v, n in zip(common.view(np.int64), counts) if n * every > CROWD]
+    if hot:
+        keys = keys.join(F.broadcast(texts.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")  # COMMON rows at most
+        keys = keys.select("key", "id", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), "parts")).alias("deal"))
+    else:
+        keys = keys.select("key", "id", F.lit(0).cast("long").alias("deal"))
+    shard = Window.partitionBy("key", "deal")
+    shared = keys.withColumn("lo", F.min("id").over(shard)).withColumn("hi", F.max("id").over(shard))
+    shared = checkpoint(shared.where((F.col("lo") != F.col("hi")) | (F.col("deal") > 0)))
+    linked = None
+    heads = shared.where("deal > 0").groupBy("key", "deal").agg(F.min("lo").alias("lo"))
+    heads = heads.join(heads.groupBy("key").agg(F.min("lo").alias("b")), "key").select(F.col("lo").alias("a"), "b")
+    for end in ("lo", "hi"):
+        pairs = shared.select(F.col("id").alias("a"), F.col(end).alias("b"))
+        if end == "lo":
+            pairs = pairs.unionByName(heads)
+        pairs = pairs.where("a <> b").distinct()
+        if linked is not None:
+            pairs = _unlinked(pairs, roots)
+        pairs = pairs.join(size.withColumnRenamed("id", "a"), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("fp").alias("gp")), "b")
+        found = _verified(pairs.where(_near(similarity)).select("a", "b"), info, texts, shingle, similarity)
+        linked = found if linked is None else linked.unionByName(found)
+        roots = checkpoint(components(linked)).withColumnRenamed("node", "id")
+    own = shared.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count(F.lit(1)).alias("c")).where("l <> h and c > 2")
+    own = own.join(mixed.select("key", F.ceil(F.col("c") / CROWD).alias("of")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("of"))).join(size, "id")
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda q: F.struct(F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi")))
+    blocks = own.withColumn("meet", F.explode(meet)).groupBy("key", "meet").agg(F.collect_list(F.struct("id", "root", "n", "fp", "part")).alias("m")).where(F.size("m") > 1)
+    blocks = blocks.select(*[F.col("m")[c].alias(c) for c in ("id", "root", "n", "fp", "part")])
+    found = map_batches(blocks, lambda cols: list(map(list, zip(*[_tree_pairs(*row, similarity) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 16)
+    rest = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    linked = linked.unionByName(_verified(rest, info, texts, shingle, similarity))
+    roots = checkpoint(components(linked)).withColumnRenamed("node", "id")
+    return prints.select("doc_id", "mark", "id").join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
+
+
+def _unlinked(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes."""
+    at = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias("r" + c))
+    return pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """df's rows, all columns, one of each group of near copies: that of the smallest id (null ids last), then of the least
     text hash.
 
-    Near copies are linked by pairs whose sets of five-word shingles have the similarity or more, exactly. Null, empty and
-    blank texts are one group. Of repeated rows one stays. Empty table: no rows.
+    Near copies are linked by pairs whose sets of five-word shingles have the similarity or more, exactly; groups are what
+    such links join. Null, empty and blank texts are one group. Of repeated rows one stays. Empty table: no rows. Any
+    column names are safe.
     """
-    text = F.col(f"`{text_col}`")
-    mark = F.xxhash64(text)
-    found = row_udf(lambda texts: [shingle_set(t, shingle) for t in texts], "binary")(text.cast("string").cast("binary"))
-    prints = checkpoint(df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), found.alias("set")))
-    every = near_classes(prints, similarity)
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
-    kept = checkpoint(every.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__k_id"), F.col("k.mark").alias("__k_mark")))
-    same = lambda i, m: i.eqNullSafe(F.col("__k_id")) & (m == F.col("__k_mark"))
-    out = df.withColumn("__mark", mark).join(kept, same(F.col(f"`{id_col}`"), F.col("__mark")), "left_semi")
+    text = F.col(f"`{text_col}`").cast("string")
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"), text.cast("binary").alias("text"))
+    every = checkpoint(near_classes(texts, df.count(), shingle, similarity))
+    first = every.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("k"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    groups = every.join(first, "root").select("doc_id", "mark", F.col("k.doc_id").alias("kd"), F.col("k.mark").alias("km"))
+    stays = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("mark") == F.col("km"))
+    gone = checkpoint(groups.where(~stays).select(F.col("doc_id").alias("gd"), F.col("mark").alias("gm")).distinct())
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), mark.alias("mark"))
+    out = join_small(rows, gone, F.col("doc_id").eqNullSafe(F.col("gd")) & (F.col("mark") == F.col("gm")), gone.count(), "left_anti")
     # only where an id has the same text in several rows is there more to drop
-    repeated = prints.join(kept, same(F.col("doc_id"), F.col("mark")), "left_semi").groupBy("doc_id", "mark").count().where("count > 1")
-    return (out if repeated.isEmpty() else out.dropDuplicates([id_col, "__mark"])).drop("__mark")
+    repeated = groups.where(stays).groupBy("doc_id", "mark").count().where("count > 1")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "mark"])).select("row.*")
