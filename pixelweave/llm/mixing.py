@@ -1,14 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-Every source gets a target of words. A source's documents are first taken floor(target / words) times as certain
-whole copies. The rest of the target is a sample without replacement: documents are ranked by random odds divided by
-inclusion odds, u / (1 - u) : p / (1 - p), and taken in that order while they fit. A document that is larger than
-what is left has inclusion probability 0 there. Where a document does not fit, the walk goes on with those that do,
-for FILL_ROUNDS rounds; at the end the smallest document that is left is added if that comes nearer to the target.
-The sample's size is fixed in words, not in documents, since the targets are words.
-
-All decisions are a function of a row and its source's small state (copies and, for each round, the gap and the last
-rank taken). No row is looked up by its id, so that repeated ids and rows do no harm, and the texts are not shuffled.
+Every source gets a target of words. A document is expected min(CAP, level * measure) times in the mix, where its measure
+is the number of binary digits of its size in words (longer documents are worth more, by the logarithm of their length),
+and the source's level is such that the expected words are the target. The whole part of that number is allocated as
+certain copies; what is left of it is the inclusion probability p of one more copy, which differs by document.
+
+These are drawn by Pareto order sampling: documents are ranked by random odds divided by inclusion odds,
+u / (1 - u) : p / (1 - p), and taken in that order as long as they fit into what the certain copies leave of the target.
+The sample's size is fixed in words, not in documents, since the targets are words; the expected words of the draw are
+just what is left, so a document is drawn with about its p. What the first document that does not fit leaves open is filled
+by at most PICKS documents, the nearest in size each, and only where that comes nearer to the target.
+
+All decisions are a function of a row and its source's small state (level, the last rank taken, the picks). No row is
+looked up by its id, so that repeated ids and rows do no harm, and the texts are not shuffled. Ranks are summed by ranges
+of ranges: per source at most FINE sums of partial aggregation, whose coarse sums tell which FINE / COARSE of them, and
+these which one range, of about a FINE-th of the source's documents, has to be walked.
 """
 
 from __future__ import annotations
@@ -18,10 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, join_small
 
-WEIGHTS, CAP, FILL_ROUNDS = (5, 2, 1), 3, 5
+WEIGHTS, CAP, PICKS = (5, 2, 1), 3, 3
 
-#: Documents that a range of ranks holds on average; ranges, not documents, are summed in order for a source.
-RANGE_DOCUMENTS = 64
+#: Ranges of ranks of a source, and ranges of such ranges.
+FINE, COARSE = 1 << 16, 1 << 8
 
 
 def word_count(text: Column) -> Column:
@@ -60,16 +66,49 @@ def rank_key(row_id: Column, text: Column, seed: str) -> Column:
 class Plan:
     """The small state by which rows are taken: one row per source."""
 
-    def __init__(self, states: DataFrame, rows: int, rounds: int):
-        self.states, self.rows, self.rounds = states, rows, rounds
+    def __init__(self, states: DataFrame, rows: int):
+        self.states, self.rows = states, rows
 
 
-def _fits(rounds: int) -> Column:
-    """True for rows that one of the rounds so far takes."""
-    taken = F.lit(False)
-    for k in range(rounds):
-        taken = taken | ((F.col("size") <= F.col(f"gap{k}")) & (F.col("rank") <= F.col(f"cut{k}")))
-    return taken
+def measure(size: Column) -> Column:
+    """Binary digits of a size."""
+    return F.length(F.bin(size)).cast("double")
+
+
+def _expected() -> Column:
+    """How often a document is expected in the mix, by its size and its source's level; no level: as often as it may."""
+    return F.coalesce(F.least(F.lit(float(CAP)), F.col("level") * measure(F.col("size"))), F.lit(float(CAP)))
+
+
+def _copies(expected: Column) -> Column:
+    """Certain whole copies."""
+    return F.floor(expected + 1e-9)
+
+
+def _with_rank(rows: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """rows with their source's state, copies, p and rank: random odds by inclusion odds, null where there is no draw."""
+    row = join_small(rows, state.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")), n).withColumn("copies", _copies(_expected()))
+    row = row.withColumn("p", F.when(F.col("size") > 0, F.greatest(_expected() - F.col("copies"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    return row.withColumn("rank", F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))))
+
+
+def levels(classes: DataFrame, sums: DataFrame) -> DataFrame:
+    """sums (src, source_size, target) with level and gap, from classes (src, size: the least of its measure, words).
+
+    The documents of the largest measures reach CAP first. In the order of falling measures, the level is that of the first
+    class that stays below CAP if all before it have reached it; a source has a class for each number of binary digits.
+    """
+    same = F.col("src").eqNullSafe(F.col("s"))
+    df = classes.withColumnRenamed("src", "s").join(sums, same).withColumn("m", measure(F.col("size")))
+    by = Window.partitionBy("src").orderBy(F.col("m").desc())
+    upto, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    capped, rest = F.coalesce(F.sum("words").over(upto), F.lit(0)), F.sum((F.col("words") * F.col("m")).cast("long")).over(after)
+    df = df.withColumn("level", F.when(rest > 0, (F.col("target") - float(CAP) * capped) / rest))
+    found = df.groupBy("src").agg(F.max(F.when(F.col("level") * F.col("m") <= float(CAP), F.col("level"))).alias("level")).withColumnRenamed("src", "s")
+    out = sums.join(found, same, "left").drop("s")
+    # the words of the certain copies of a class are known from its sum
+    sure = classes.withColumnRenamed("src", "s").join(out, same).groupBy("src").agg(F.sum((F.col("words") * _copies(_expected())).cast("long")).alias("sure")).withColumnRenamed("src", "s")
+    return out.join(sure, same, "left").drop("s").withColumn("gap", F.greatest(F.col("target") - F.coalesce("sure", F.lit(0)), F.lit(0.0))).drop("sure")
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, *keep: Column) -> DataFrame:
@@ -78,64 +117,69 @@ def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     return df.select(*keep, F.col(f"`{source_col}`").cast("string").alias("src"), word_count(text).alias("size"), rank_key(F.col(f"`{id_col}`"), text, seed).alias("u"))
 
 
-def plan(rows: DataFrame, rounds: int = FILL_ROUNDS) -> Plan:
+def _taken(picks: int) -> Column:
+    """True for rows that are drawn, by their rank or as one of the picks so far."""
+    out = F.col("rank") <= F.col("cut")
+    for k in range(picks):
+        out = out | ((F.col("size") == F.col(f"size{k}")) & (F.col("rank") == F.col(f"rank{k}")))
+    return F.coalesce(out, F.lit(False))
+
+
+def plan(rows: DataFrame, picks: int = PICKS) -> Plan:
     """Decide from src, size and u (checkpointed) how often rows are taken. An empty table gives an empty plan."""
-    sums = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    sums = checkpoint(targets(sums).join(sums.select(F.col("src").alias("w"), "n"), F.col("src").eqNullSafe(F.col("w"))).drop("w"))
-    n, documents = sums.agg(F.count(F.lit(1)), F.sum("n")).first()
-    sums = sums.drop("n")
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    state = sums.withColumn("copies", F.floor(ratio + 1e-9)).withColumn("gap", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
-    # a document has p = gap / words here, so odds p / (1 - p); those larger than the gap have none
-    p = F.least(F.col("gap") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1 - 1e-9))
-    state = state.withColumn("odds", F.greatest(p / (1 - p), F.lit(1e-300)))
-    ranges = max(256, (documents or 0) // RANGE_DOCUMENTS)
+    classes = checkpoint(rows.groupBy("src", measure(F.col("size")).alias("m")).agg(F.min("size").alias("size"), F.sum("size").alias("words")).drop("m"))
+    sums = checkpoint(targets(classes.groupBy("src").agg(F.sum("words").alias("source_size"))))
+    n = sums.count()
+    state = checkpoint(levels(classes, sums))
     same = F.col("src").eqNullSafe(F.col("s"))
-    for k in range(rounds):
-        state = state.withColumn(f"gap{k}", F.col("gap"))
-        here = join_small(rows.select("src", "size", "u"), state.withColumnRenamed("src", "s"), same, n).withColumn("rank", _rank())
-        left = here.where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~_fits(k)).withColumn("part", F.floor(F.col("u") * ranges))
-        # ranges of ranks are summed in order for each source, then the first that does not fit as a whole is walked
-        by = Window.partitionBy("src").orderBy("part")
-        run = left.groupBy("src", "part").agg(F.sum("size").alias("words"), F.max("rank").alias("last")).withColumn("upto", F.sum("words").over(by))
-        run = join_small(run, state.select(F.col("src").alias("s"), "gap"), same, n)
-        fit = F.col("upto") <= F.col("gap")
-        edge = run.where(~fit & (F.col("upto") - F.col("words") <= F.col("gap"))).select(F.col("src").alias("s"), F.col("part").alias("p"), (F.col("upto") - F.col("words")).alias("before"))
-        inside = join_small(left.drop("s"), edge, same & (F.col("part") == F.col("p")), n, "inner")
-        walked = inside.groupBy("src", "rank", "before", "gap").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(Window.partitionBy("src").orderBy("rank")) + F.col("before"))
-        cuts = run.where(fit).select("src", F.col("last").alias("cut"), "upto").unionByName(walked.where(fit).select("src", F.col("rank").alias("cut"), "upto"))
-        cuts = cuts.groupBy("src").agg(F.max("cut").alias(f"cut{k}"), F.max("upto").alias("got")).withColumnRenamed("src", "s")
-        state = state.join(cuts, same, "left").drop("s").fillna({f"cut{k}": -1.0, "got": 0})
-        state = checkpoint(state.withColumn("gap", F.greatest(F.col("gap") - F.col("got"), F.lit(0.0))).drop("got"))
-    here = join_small(rows.select("src", "size", "u"), state.withColumnRenamed("src", "s"), same, n).withColumn("rank", _rank())
-    least = here.where((F.col("size") > 0) & ~_fits(rounds)).groupBy("src").agg(F.min(F.struct("size", "rank")).alias("least")).withColumnRenamed("src", "s")
-    near = (F.col("copies") < CAP) & (F.col("least.size") - F.col("gap") < F.col("gap"))
-    state = state.join(least, same, "left").drop("s").withColumn("extra_size", F.when(near, F.col("least.size"))).withColumn("extra_rank", F.when(near, F.col("least.rank")))
-    return Plan(checkpoint(state.drop("least", "gap")), n, rounds)
-
-
-def _rank() -> Column:
-    """Random odds by inclusion odds."""
-    return F.col("u") / (1 - F.col("u")) / F.col("odds")
+    drawn = _with_rank(rows.select("src", "size", "u"), state, n).where(F.col("rank").isNotNull()).select("src", "size", "rank", "gap")
+    drawn = drawn.withColumn("fine", F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * FINE), F.lit(FINE - 1)))
+    fine = checkpoint(drawn.groupBy("src", "fine", "gap").agg(F.sum("size").alias("words"), F.max("rank").alias("last")).withColumn("coarse", F.floor(F.col("fine") / (FINE // COARSE))))
+    # sums of ranges of ranges, then of the ranges in that which crosses the gap, then of the ranks in the one which does
+    whole, edge = _crossing(fine.groupBy("src", "coarse", "gap").agg(F.sum("words").alias("words"), F.max("last").alias("last")).withColumn("before", F.lit(0)), "coarse")
+    cuts, inner = whole, join_small(fine, edge.withColumnRenamed("at", "c"), same & (F.col("coarse") == F.col("c")), n, "inner").drop("s", "c")
+    whole, edge = _crossing(inner, "fine")
+    cuts, inner = cuts.unionByName(whole), join_small(drawn, edge.withColumnRenamed("at", "f"), same & (F.col("fine") == F.col("f")), n, "inner").drop("s", "f")
+    whole, _ = _crossing(inner.groupBy("src", "rank", "gap", "before").agg(F.sum("size").alias("words")).withColumn("last", F.col("rank")), "rank")
+    cuts = cuts.unionByName(whole).groupBy("src").agg(F.max("last").alias("cut"), F.max("upto").alias("got")).withColumnRenamed("src", "s")
+    state = state.join(cuts, same, "left").drop("s").fillna({"cut": -1.0, "got": 0})
+    state = checkpoint(state.withColumn("gap", F.col("gap") - F.col("got")).drop("got"))
+    for k in range(picks):
+        left = _with_rank(rows.select("src", "size", "u"), state, n).where(F.col("rank").isNotNull() & ~_taken(k) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
+        near = left.groupBy("src").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "rank", "size")).alias("pick")).select(F.col("src").alias("s"), F.col("pick.size").alias(f"size{k}"), F.col("pick.rank").alias(f"rank{k}"))
+        near = checkpoint(near)
+        # equal rows are taken alike, so all of them must come nearer to the target
+        alike = join_small(left.drop("s"), near, same & (F.col("size") == F.col(f"size{k}")) & (F.col("rank") == F.col(f"rank{k}")), n, "inner")
+        alike = alike.groupBy(F.col("src").alias("s"), "gap", f"size{k}", f"rank{k}").agg(F.sum("size").alias("more")).where(F.abs(F.col("gap") - F.col("more")) < F.col("gap")).drop("gap")
+        state = checkpoint(state.join(alike, same, "left").drop("s").withColumn("gap", F.col("gap") - F.coalesce("more", F.lit(0))).drop("more"))
+    return Plan(state.drop("gap"), n)
+
+
+def _crossing(sums: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """From sums (src, at, gap, before, words, last), in the order of `at`: (src, last, upto) of those that fit as a whole
+    into the gap, and (s, at, before) of the one that crosses it, with the sum before it."""
+    run = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("src").orderBy(at)) + F.col("before"))
+    fit = F.col("upto") <= F.col("gap")
+    edge = run.where(~fit & (F.col("upto") - F.col("words") <= F.col("gap")))
+    return run.where(fit).select("src", "last", "upto"), edge.select(F.col("src").alias("s"), F.col(at).alias("at"), (F.col("upto") - F.col("words")).alias("before"))
 
 
 def decide(rows: DataFrame, to: Plan) -> DataFrame:
-    """rows (src, size, u and more) with source_size, target and copies; to.states is broadcast where it is small."""
-    state = to.states.withColumnRenamed("src", "s")
-    row = join_small(rows, state, F.col("src").eqNullSafe(F.col("s")), to.rows).withColumn("rank", _rank())
-    sampled = (F.col("size") > 0) & (_fits(to.rounds) | ((F.col("size") == F.col("extra_size")) & (F.col("rank") == F.col("extra_rank"))))
-    copies = (F.col("copies") + F.when(F.coalesce(sampled, F.lit(False)), 1).otherwise(0)).cast("int")
-    return row.select(*[F.col(c) for c in rows.columns], "source_size", "target", copies.alias("times"))
+    """rows (src, size, u and more) with source_size, target, p (of one more copy than the certain ones) and times; the
+    plan's states are broadcast where they are small."""
+    row = _with_rank(rows, to.states, to.rows)
+    times = (F.col("copies") + F.when(_taken(PICKS), 1).otherwise(0)).cast("int")
+    return row.select(*[F.col(c) for c in rows.columns], "source_size", "target", "p", times.alias("times"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """One row per row of df: doc_id, source, size, source_size, target and times, how often the mix takes it.
+    """One row per row of df: doc_id, source, size, source_size, target, p and times, how often the mix takes it.
 
-    Null text: size 0, taken as often as its source's certain copies. Null source: a source of its own, last. Equal rows
-    are all taken alike. Empty table: no rows. Columns of df but for the three named ones are not read.
+    Null text: size 0, taken as often as it is certain. Null source: a source of its own, last. Equal rows (of the same id
+    and text) are all taken alike, and only if all of them fit or come nearer to the target. Empty table: no rows. Columns of df but for the three named ones are not read.
     """
     rows = checkpoint(measured(df, id_col, text_col, source_col, seed, F.col(f"`{id_col}`").alias("doc_id")))
-    return decide(rows, plan(rows)).select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", "times")
+    return decide(rows, plan(rows)).select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", "p", "times")
 
 
 def repeat(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .chat import END, SEP, START
 from .linkgraph import DAMPING, ROUNDS, RULES, THRESHOLD
-from .mixing import CAP, FILL_ROUNDS, WEIGHTS
+from .mixing import CAP, PICKS, WEIGHTS
 from .topk import EVERY, SCALE, TOP
 
 
 def mixing_sql(seed: str = "mix") -> str:
-    """The mix by plain window sums over all documents of a source, one block for each round."""
+    """The mix by plain window sums over all documents of a source, one block for each pick."""
     weight = "case (row_number() over (order by source is null, encode(source)) - 1) % 3 " + " ".join(f"when {i} then {w}.0" for i, w in enumerate(WEIGHTS)) + " end"
     key = f"(cast('0x' || substr(md5('{seed}:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 13) as bigint)::double + 0.5) / 4503599627370496.0"
     out = f"""with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) size, {key} u from documents),
@@ -19,21 +19,25 @@ c as (select *, coalesce(sum(most) over p, 0) capped, sum(w) over () - coalesce(
       window p as (order by most / w, source is null, encode(source) rows between unbounded preceding and 1 preceding)),
 l as (select *, max(case when (total - capped) / w_left * w <= most then (total - capped) / w_left end) over () level from c),
 t as (select source, source_size, coalesce(least(most, level * w), 0.0)::double target from l),
-g as (select *, case when source_size > 0 then cast(floor(target / source_size + 1e-9) as bigint) else 0 end copies from t),
-r0 as (select d.doc_id, d.source, size, u, source_size, target, copies, greatest(target - copies * source_size, 0.0) gap, false taken from d join g on d.source is not distinct from g.source)"""
-    for k in range(FILL_ROUNDS):
+k as (select source, length(bin(size)) m, cast(sum(size) as bigint) words from d group by all),
+i as (select k.*, target, (target - {CAP}.0 * coalesce(sum(words) over (a rows between unbounded preceding and 1 preceding), 0)) /
+       nullif(sum(words * m) over (a rows between current row and unbounded following), 0) lev
+      from k join t on k.source is not distinct from t.source window a as (partition by k.source order by m desc)),
+v as (select source, max(case when lev * m <= {CAP}.0 then lev end)::double lev from i group by source),
+x as (select d.doc_id, d.source, size, u, source_size, target, coalesce(least({CAP}.0::double, lev * length(bin(size))), {CAP}.0)::double want
+      from d join t on d.source is not distinct from t.source join v on d.source is not distinct from v.source),
+y as (select *, cast(floor(want + 1e-9::double) as bigint) copies, case when size > 0 then greatest(want - floor(want + 1e-9::double), 0.0) else 0.0 end::double p from x),
+q as (select *, case when p > 0 then u / (1 - u) / (p / (1 - p)) end as rank, greatest(target - sum(size * copies) over (partition by source), 0.0)::double gap from y),
+f as (select *, coalesce(p > 0 and sum(case when p > 0 then size else 0 end) over (partition by source order by rank nulls last) <= gap, false) taken from q),
+r0 as (select * exclude gap, gap - sum(case when taken then size else 0 end) over (partition by source) gap from f)"""
+    for k in range(PICKS):
         out += f""",
-f{k} as (select *, not taken and size > 0 and size <= gap fits, sum(case when not taken and size > 0 and size <= gap then size else 0 end) over (partition by source order by u) upto from r{k}),
-m{k} as (select *, fits and upto <= gap now from f{k}),
-r{k + 1} as (select doc_id, source, size, u, source_size, target, copies, greatest(gap - sum(case when now then size else 0 end) over (partition by source), 0.0) gap, taken or now taken from m{k})"""
-    n = FILL_ROUNDS
-    return (
-        out
-        + f""",
-e as (select *, row_number() over (partition by source order by taken or size = 0, size, u) pos from r{n})
-select doc_id, size, source_size, target,
-  cast(size * (copies + case when size > 0 and (taken or pos = 1 and copies < {CAP} and size - gap < gap) then 1 else 0 end) as bigint) taken from e"""
-    )
+o{k} as (select *, p > 0 and not taken and abs(size - gap) < gap may from r{k}),
+n{k} as (select *, may and dense_rank() over (partition by source order by may desc, abs(size - gap), rank, size) = 1 best from o{k}),
+m{k} as (select *, best and abs(gap - sum(case when best then size else 0 end) over (partition by source)) < gap now from n{k}),
+r{k + 1} as (select doc_id, source, size, source_size, target, copies, p, rank, taken or now taken, gap - sum(case when now then size else 0 end) over (partition by source) gap from m{k})"""
+    return out + f"""
+select doc_id, size, source_size, target, cast(size * (copies + case when taken then 1 else 0 end) as bigint) taken from r{PICKS}"""
 
 
 TOPK_SQL = f"""with v as (select vec_id, min(list_transform(embedding, lambda x: floor({SCALE} * x::double))) v from embeddings

@@ -15,6 +15,7 @@ Equal fingerprints are one node throughout, so that copies are never expanded in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -116,21 +117,25 @@ class BKTree:
 def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """Links (member, least of its part) that join what is linked within one shard."""
     v = np.array(values, np.int64).view(np.uint64)
-    q, node = BKTree(v).within(v, radius)
-    least = np.arange(len(v))
-    while True:  # the parts of a shard: each takes the least index around, then that one's own
-        new = least.copy()
-        np.minimum.at(new, q, least[node])
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
+    least = _parts(len(v), *BKTree(v).within(v, radius))
     order = v.view(np.int64)
     root = np.full(len(v), np.iinfo(np.int64).max)
     np.minimum.at(root, least, order)
     return [(int(a), int(b)) for a, b in zip(order, root[least]) if a != b]
 
 
+def _parts(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least index of the part of each of n members, by links (x, y) that go both ways."""
+    least = np.arange(n)
+    while True:  # each takes the least index around, then that one's own
+        new = least.copy()
+        np.minimum.at(new, x, least[y])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(bits, min(parts, len(bits))) if len(x)]
 
@@ -199,13 +204,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Words of a shingle, and the similarity (Jaccard, of sets of shingles).
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
-#: Bits of a fingerprint of a set, and the distance up to which two sets are compared whole. Bits of sets of similarity
-#: 0.8 differ with probability 0.15, of sets of a few shingles 0.19 at most, so 80 of 256 is five deviations above the
-#: mean for these and seven for others: a similar pair is farther apart with a probability below 1e-6.
-NEAR_BITS, NEAR_RADIUS = 256, 80
+#: Bits of a fingerprint of a set, the distance up to which two sets are compared whole, and that for sets of fewer than
+#: FEW shingles. Bits of sets of similarity 0.8 differ with probability 0.15, of small sets with 0.19 at most, so these
+#: distances are 4.5 and 5 deviations above the mean: a similar pair is farther apart with a probability below 1e-5.
+NEAR_BITS, NEAR_RADIUS, FEW_RADIUS, FEW = 256, 64, 80, 32
 
-#: Rows of a shard, texts that the order of shingles is taken from, and shingles that it names.
-CROWD, SAMPLE, COMMON = 1024, 2000, 100_000
+#: Rows and shingles of a shard, texts that the order of shingles is taken from, and shingles that it names.
+CROWD, SHINGLES, SAMPLE, COMMON = 1024, 1 << 18, 2000, 100_000
 
 #: Far above the rounding of a product of the similarity, far below one shingle.
 _EPS = 1e-6
@@ -306,27 +311,70 @@ def _described(texts: DataFrame, common: np.ndarray, counts: np.ndarray, shingle
 def _near(similarity: float) -> Column:
     """Whether two sets (n and fp, m and gp) may be similar, by their sizes and fingerprints."""
     far = reduce(lambda a, b: a + b, [F.bit_count(F.col("fp")[k].bitwiseXOR(F.col("gp")[k])) for k in range(NEAR_BITS // BITS)])
-    return (F.least("n", "m") + _EPS >= similarity * F.greatest("n", "m")) & (far <= NEAR_RADIUS)
+    return (F.least("n", "m") + _EPS >= similarity * F.greatest("n", "m")) & (far <= F.when(F.least("n", "m") < FEW, FEW_RADIUS).otherwise(NEAR_RADIUS))
 
 
-def _tree_pairs(ids: list, roots: list, n: list, fp: list, part: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one shard, or between two shards of the same key, that may be similar and are not linked yet."""
-    i, r, m, g = (np.array(x, np.int64) for x in (ids, roots, n, part))
+def _tree_pairs(roots: list, n: list, fp: list, part: list, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of one part, or between two, that may be similar and are not linked yet. Each pair of a part is
+    found both ways."""
+    r, m, g = (np.array(x, np.int64) for x in (roots, n, part))
     prints = np.array(fp, np.int64).view(np.uint64)
     one, other = np.flatnonzero(g == g.min()), np.flatnonzero(g == g.max())
-    q, node = BKTree(prints[other]).within(prints[one], NEAR_RADIUS)
+    q, node = BKTree(prints[other]).within(prints[one], max(NEAR_RADIUS, FEW_RADIUS))
     x, y = one[q], other[node]
     fits = (r[x] != r[y]) & (np.minimum(m[x], m[y]) + _EPS >= similarity * np.maximum(m[x], m[y]))
-    a, b = i[x[fits]], i[y[fits]]
-    return np.maximum(a, b), np.minimum(a, b)
+    x, y = x[fits], y[fits]
+    far = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
+    fits = far <= np.where(np.minimum(m[x], m[y]) < FEW, FEW_RADIUS, NEAR_RADIUS)
+    return x[fits], y[fits]
+
+
+def _tree_links(ids: list, roots: list, n: list, fp: list, part: list, similarity: float) -> tuple[list, list]:
+    """Links (member, another) that span what those pairs join."""
+    x, y = _tree_pairs(roots, n, fp, part, similarity)
+    least = _parts(len(ids), np.concatenate([x, y]), np.concatenate([y, x]))
+    moved = np.flatnonzero(least != np.arange(len(ids)))
+    return [ids[k] for k in moved], [ids[k] for k in least[moved]]
+
+
+def _similar_links(ids: list, roots: list, n: list, fp: list, part: list, texts: list, sets: ShingleSets, similarity: float) -> tuple[list, list]:
+    """Links of similar sets that span what those pairs join that are similar by their whole sets."""
+    x, y = _tree_pairs(roots, n, fp, part, similarity)
+    if len(set(part)) == 1:
+        x, y = x[x < y], y[x < y]
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    label = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+    made = {int(k): sets.of(texts[k]) for k in np.unique(np.concatenate([x, y]))}
+    out: tuple[list, list] = ([], [])
+    for k, mates in zip(x[np.flatnonzero(np.diff(x, prepend=-1))].tolist(), np.split(y, np.flatnonzero(np.diff(x)) + 1)):
+        own = made[k]
+        mates = mates[label[mates] != label[k]]
+        for at in range(0, len(mates), 256):
+            some = [made[m] for m in mates[at : at + 256].tolist()]
+            lengths = np.array(list(map(len, some)))
+            flat = np.concatenate(some)
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            shared = np.add.reduceat(hit, np.cumsum(lengths) - lengths, dtype=np.int64)
+            for m in mates[at : at + 256][shared + _EPS >= similarity * (lengths + len(own) - shared)].tolist():
+                if label[m] != label[k]:
+                    label[label == label[m]] = label[k]
+                    out[0].append(max(ids[k], ids[m]))
+                    out[1].append(min(ids[k], ids[m]))
+    return out
+
+
+def _texts_of(ids: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) for the nodes (id), one text for each set; other texts are not shuffled where these are few."""
+    wanted = checkpoint(ids.distinct().join(info.select("id", F.col("mark").alias("m")), "id"))
+    found = join_small(texts.select("mark", "text"), wanted, F.col("mark") == F.col("m"), wanted.count(), "inner")
+    return checkpoint(found.groupBy("id").agg(F.first("text").alias("text")))
 
 
 def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar. Only texts of the pairs are read into the join, one for each set."""
+    """Those pairs (a, b) whose whole sets are similar."""
     pairs = checkpoint(pairs)
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(info.select("id", F.col("mark").alias("m")), "id"))
-    found = join_small(texts.select("mark", "text"), wanted, F.col("mark") == F.col("m"), wanted.count(), "inner").groupBy("id").agg(F.first("text").alias("text"))
-    found = checkpoint(found)
+    found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), info, texts)
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     made: list[ShingleSets] = []
     last: list = [None, None]
@@ -345,6 +393,32 @@ def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
     return checkpoint(map_batches(both.select("a", "b", "ta", "tb"), work, "a long, b long", 64))
 
 
+def _met(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Array columns of each two parts of a key that meet. members has key, root, n and the columns.
+
+    A part has about CROWD rows and SHINGLES shingles. Classes of a part and more have parts of their own, which do not meet
+    each other, as their members are linked; the others share parts, which also meet themselves.
+    """
+    weight = F.greatest(F.count(F.lit(1)) / CROWD, F.sum("n") / SHINGLES)
+    by_root = members.groupBy(key, "root").agg(weight.alias("w"))
+    by_root = by_root.select(F.col(key).alias("k"), F.col("root").alias("r"), "w", F.when(F.col("w") >= 1, F.col("root")).alias("own"))
+    groups = by_root.groupBy(F.col("k").alias("gk"), F.col("own").alias("gown")).agg(F.ceil(F.sum("w")).alias("of"))
+    order = Window.partitionBy("gk").orderBy("gown")  # as many rows as a key has large classes
+    groups = groups.withColumn("at", F.sum("of").over(order) - F.col("of")).withColumn("all", F.sum("of").over(Window.partitionBy("gk")))
+    dealt = by_root.join(groups, (F.col("gk") == F.col("k")) & F.col("gown").eqNullSafe(F.col("own"))).select("k", "r", "own", "of", "at", "all")
+    rows = members.join(dealt, (F.col(key) == F.col("k")) & (F.col("root") == F.col("r"))).withColumn("part", F.col("at") + F.pmod(F.xxhash64("id"), F.col("of")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda q: F.col("own").isNull() | (q < F.col("at")) | (q >= F.col("at") + F.col("of")))
+    rows = rows.withColumn("q", F.explode(others)).withColumn("lo", F.least("part", "q")).withColumn("hi", F.greatest("part", "q"))
+    blocks = rows.groupBy(key, "lo", "hi").agg(F.collect_list(F.struct(*columns, "part")).alias("m")).where(F.size("m") > 1)
+    return blocks.select(*[F.col("m")[c].alias(c) for c in (*columns, "part")])
+
+
+def _links(blocks: DataFrame, work: Callable[..., tuple[list, list]]) -> DataFrame:
+    """The links that work finds in each block, as rows (a, b)."""
+    found = map_batches(blocks, lambda cols: list(map(list, zip(*[work(*row) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 1)
+    return found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
+
+
 def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id, mark, root for each row of texts (doc_id, mark: a hash of the text, text): root is equal for near copies.
 
@@ -354,7 +428,8 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
        several shards from the start.
     3. Each node meets the least and the greatest node of its shard. After that only pairs that are not linked yet are of
        use, so a group of near copies is not expanded into pairs.
-    4. They are found by the BK-trees of a key's shards of about CROWD rows, each shard with each other.
+    4. They are found by the BK-trees of a key's shards of about CROWD rows, each shard with each other. What such pairs
+       join is a cluster. Its texts meet, shard by shard, and are compared there, so no list of pairs is ever made.
     5. Every pair near enough by its fingerprints is compared by whole sets; components of these links are the classes.
     """
     common, counts, every = _common(texts, rows, shingle)
@@ -388,13 +463,18 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
         roots = checkpoint(components(linked)).withColumnRenamed("node", "id")
     own = shared.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = own.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count(F.lit(1)).alias("c")).where("l <> h and c > 2")
-    own = own.join(mixed.select("key", F.ceil(F.col("c") / CROWD).alias("of")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("of"))).join(size, "id")
-    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("of") - 1), lambda q: F.struct(F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi")))
-    blocks = own.withColumn("meet", F.explode(meet)).groupBy("key", "meet").agg(F.collect_list(F.struct("id", "root", "n", "fp", "part")).alias("m")).where(F.size("m") > 1)
-    blocks = blocks.select(*[F.col("m")[c].alias(c) for c in ("id", "root", "n", "fp", "part")])
-    found = map_batches(blocks, lambda cols: list(map(list, zip(*[_tree_pairs(*row, similarity) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 16)
-    rest = found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-    linked = linked.unionByName(_verified(rest, info, texts, shingle, similarity))
+    own = checkpoint(own.join(mixed.select("key"), "key").join(size, "id"))
+    tried = _links(_met(own, "key", ["id", "root", "n", "fp"]), lambda *row: _tree_links(*row, similarity))
+    clusters = checkpoint(components(tried)).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    members = clusters.join(size, "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    members = members.join(_texts_of(clusters.select("id"), info, texts), "id")
+    made: list[ShingleSets] = []
+
+    def work(*row: list) -> tuple[list, list]:
+        made[:] = made or [ShingleSets(shingle)]
+        return _similar_links(*[row[k] for k in (0, 1, 2, 3, 5, 4)], made[0], similarity)
+
+    linked = linked.unionByName(checkpoint(_links(_met(members, "cluster", ["id", "root", "n", "fp", "text"]), work)))
     roots = checkpoint(components(linked)).withColumnRenamed("node", "id")
     return prints.select("doc_id", "mark", "id").join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
 
