@@ -206,8 +206,8 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 #: Bits of a fingerprint of a set, the distance up to which two sets are compared whole, and that for sets of fewer than
 #: FEW shingles. Bits of sets of similarity 0.8 differ with probability 0.15, of small sets with 0.19 at most, so these
-#: distances are 4.5 and 5 deviations above the mean: a similar pair is farther apart with a probability below 1e-5.
-NEAR_BITS, NEAR_RADIUS, FEW_RADIUS, FEW = 256, 64, 80, 32
+#: distances are five deviations above the mean and more: a similar pair is farther apart with a probability below 1e-6.
+NEAR_BITS, NEAR_RADIUS, FEW_RADIUS, FEW = 256, 72, 80, 32
 
 #: Rows and shingles of a shard, texts that the order of shingles is taken from, and shingles that it names.
 CROWD, SHINGLES, SAMPLE, COMMON = 1024, 1 << 18, 2000, 100_000
