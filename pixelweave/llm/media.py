@@ -1,8 +1,10 @@
 """Media columns: texts as WAV clips that are read by the wave module, and spectral fingerprints as time-coded arrays.
 
 A payload is the UTF-8 text, filled with blanks to a positive multiple of 192 bytes, and stored as 8-bit samples. Of a
-clip that is read back, short-time Fourier transforms over blocks of frames give each frame's strongest peak; a peak and
-each of the next FAN peaks are a pair, coded as both frequencies and their distance in time, at the first one's time.
+clip that is read back, short-time Fourier transforms over blocks of overlapping frames give a spectrogram. Its peaks are
+the places that exceed all around them, by up to REACH frequencies in their own frame and the two beside it. A peak and
+each of the next FAN peaks, up to ZONE frames on, are a pair, coded as both frequencies, their distance in time and the
+ratio of their magnitudes in STEPS to an octave, at the first one's time.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from .common import map_batches
 
 UNIT, RATE, TAIL = 192, 8000, 16
 
-#: Samples of a frame and from one to the next, later peaks that a peak is paired with, and frames that are transformed at once.
-FRAME, HOP, FAN, BLOCK = 256, 256, 2, 4096
+#: Samples of a frame and from one to the next, reach of a peak in frequency, later peaks that a peak is paired with, frames
+#: between the two at most, steps of an octave of magnitude, and frames that are transformed at once.
+FRAME, HOP, REACH, FAN, ZONE, STEPS, BLOCK = 64, 32, 2, 2, 63, 4, 16_384
 
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
@@ -42,30 +45,62 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest frequency bin of each frame, the mean taken off; ties go to the lower bin."""
-    n = max(1, -(-len(samples) // HOP))
-    out = np.empty(n, np.int64)
-    for at in range(0, n, BLOCK):
-        part = samples[at * HOP : (at + BLOCK) * HOP].astype(np.float32) - np.float32(128)
-        frames = np.zeros((min(BLOCK, n - at), FRAME), np.float32)
-        frames.reshape(-1)[: len(part)] = part
-        frames -= frames.mean(axis=1, keepdims=True)
-        power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).round(2)
-        out[at : at + BLOCK] = power[:, 1:].argmax(axis=1) + 1
-    return out
-
-
-def pairs(bins: np.ndarray, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frames) and codes of all pairs, in order of time, then distance."""
-    times, codes = [], []
-    for d in range(1, fan + 1):
-        first, second = bins[:-d] if d < len(bins) else bins[:0], bins[d:]
-        times.append(np.arange(len(first)))
-        codes.append(first << 16 | second << 4 | d)
-    t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.lexsort((c & 15, t))
-    return t[order], c[order]
+def spectrogram(samples: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Magnitudes of `count` frames from the `first` on, the constant left out; frames go past the end in silence."""
+    part = samples[first * HOP : (first + count - 1) * HOP + FRAME]
+    padded = np.full((count - 1) * HOP + FRAME, 128, np.float32)
+    padded[: len(part)] = part
+    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP] - np.float32(128)
+    frames -= frames.mean(axis=1, keepdims=True)
+    frames *= _WINDOW
+    return np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32).round(1)[:, 1:]
+
+
+def peaks(samples: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times (frames) and frequencies (bins from 0) of all peaks, in this order, and their levels (STEPS to an octave).
+    Equal neighbours are all peaks. Frames that are not marked as own are silent."""
+    times, bins, levels = [], [], []
+    for at in range(0, len(own), BLOCK):
+        lo, hi = max(at - 1, 0), min(at + BLOCK + 1, len(own))
+        power = spectrogram(samples, lo, hi - lo) * own[lo:hi, None]
+        wide = np.pad(power, ((1, 1), (REACH, REACH)))
+        across = wide[:, : power.shape[1]]
+        for k in range(1, 2 * REACH + 1):
+            across = np.maximum(across, wide[:, k : k + power.shape[1]])
+        most = np.maximum(np.maximum(across[:-2], across[2:]), across[1:-1])
+        here = slice(at - lo, min(at + BLOCK, len(own)) - lo)
+        t, f = np.nonzero((power[here] > 0) & (power[here] == most[here]))
+        times.append(t + at)
+        bins.append(f)
+        levels.append(np.rint(STEPS * np.log2(power[here][t, f])).astype(np.int64))
+    return np.concatenate(times), np.concatenate(bins), np.concatenate(levels)
+
+
+def fingerprint(payloads: list[bytes], fan: int = FAN) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each clip the times (frames) and codes of all pairs, in order of time, then of the first and the second peak.
+
+    The clips are transformed as one stream with silence between them, which changes none of them."""
+    frames = np.array([max(1, -(-len(p) // HOP)) for p in payloads], np.int64)
+    gap = -(-FRAME // HOP)
+    starts = np.cumsum(frames + gap) - frames - gap
+    owner = np.repeat(np.arange(len(payloads)), frames + gap)
+    stream = np.full(len(owner) * HOP, 128, np.uint8)
+    for p, at in zip(payloads, (starts * HOP).tolist()):
+        stream[at : at + len(p)] = np.frombuffer(p, np.uint8)
+    time, freq, level = peaks(stream, np.arange(len(owner)) - starts[owner] < frames[owner])
+    clip = owner[time]
+    found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+    for d in range(1, min(fan, len(time) - 1) + 1):
+        later = time[d:] - time[:-d]
+        near = np.flatnonzero((later <= ZONE) & (clip[d:] == clip[:-d]))
+        ratio = np.clip(level[near + d] - level[near], -32, 31) + 32
+        for column, value in zip(found, (near, freq[near] << 17 | freq[near + d] << 12 | later[near] << 6 | ratio, near * (fan + 1) + d)):
+            column.append(value)
+    first, code, place = map(np.concatenate, found)
+    order = np.argsort(place)
+    first, code = first[order], code[order]
+    cuts = np.searchsorted(clip[first], np.arange(1, len(payloads)))
+    return list(zip(np.split(time[first] - starts[clip[first]], cuts), np.split(code, cuts)))
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,9 +121,8 @@ def read(clips: DataFrame) -> DataFrame:
 
     def work(cols: list[list]) -> list[list]:
         out: list[list] = [[] for _ in range(9)]
-        for doc_id, n, media in zip(*cols):
-            payload = from_wav(media)
-            t, c = pairs(peaks(np.frombuffer(payload, np.uint8)))
+        payloads = list(map(from_wav, cols[2]))
+        for doc_id, n, media, payload, (t, c) in zip(*cols, payloads, fingerprint(payloads)):
             for column, value in zip(out, (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), t, c)):
                 column.append(value)
         return out
