@@ -1,9 +1,10 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence under the posteriors of its host and path.
 
-A logistic classifier over the shape of a whole text gives a document's log-likelihood ratio. Its share of good
-documents is then judged by site: the host's from the mean of its documents, shrunk toward the global one, and the
-path's from its own documents, shrunk toward the host's. How much a sparse site is shrunk follows from how much sites
-differ, by moments. All of this is grouped aggregation with partial sums, so a host of any size is no burden.
+A logistic classifier over the shape of a whole text gives a document's log-likelihood ratio. What its site adds is the
+share of good documents there, of the others: the host's from the mean of its documents, shrunk toward the global one, and
+the path's from its own documents, shrunk toward the host's. A document's own evidence is left out of all three, so it
+counts once. How much a sparse site is shrunk follows from how much sites differ, by moments: hosts around the global mean,
+paths around their host's. All of this is grouped aggregation with partial sums, so a host of any size is no burden.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, join_small, row_udf
-from .labelled import sample
+from .labelled import held_out, sample
 
 RIDGE, NEWTON, KEEP = 1.0, 30, 0.5
 
@@ -115,9 +116,10 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from a bounded sample of labelled rows (labelled.SAMPLE of each class); without both classes None."""
-    rows = sample(docs, labels, "quality")
+    shapes = row_udf(lambda texts: [shape(t) for t in texts], "array<double>")  # on the executors: the driver gets no text
+    rows = sample(docs, labels, "quality").select("label", shapes(F.col("text")).alias("x")).collect()
     y = np.array([r["label"] for r in rows], float)
-    return train(np.array([shape(r["text"]) for r in rows]), y) if len(set(y)) == 2 else None
+    return train(np.array([r["x"] for r in rows]), y) if len(set(y)) == 2 else None
 
 
 def evidence(text: Column, model: Model | None) -> Column:
@@ -134,46 +136,62 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, rate: float) -> float:
-    """Documents that a prior counts as: by how much the groups' means differ beyond what their sizes explain."""
-    got = groups.where("n > 0").agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - rate, 2)), F.sum("n"), F.count(F.lit(1)), F.sum(F.col("n") * F.col("n"))).first()
-    if not got[1] or got[2] < 2:
+def _strength(groups: DataFrame, by: list[str]) -> float:
+    """Documents that a prior counts as, for groups (n, s: the sum of their probabilities) within what they have in common:
+    by how much their means differ beyond what their sizes explain."""
+    n, s = F.col("n"), F.col("s")
+    per = groups.groupBy(*by).agg(F.sum(n).alias("all"), F.sum(s).alias("sum"), F.count(F.lit(1)).alias("k"), F.sum(s * s / n).alias("q"), F.sum(n * n).alias("n2"))
+    rate = F.col("sum") / F.col("all")
+    noise = rate * (1 - rate)
+    got = per.agg(F.sum(F.col("q") - rate * F.col("sum")), F.sum((F.col("k") - 1) * noise), F.sum(F.col("all") - F.col("n2") / F.col("all")), F.sum(F.col("all") * noise), F.sum("all"), F.max("k")).first()
+    if not got[4] or got[5] < 2:
         return MOST
-    spread = (got[0] - (got[2] - 1) * rate * (1 - rate)) / max(got[1] - got[3] / got[1], 1e-9)
-    return float(min(max(rate * (1 - rate) / spread - 1, LEAST), MOST)) if spread > 0 else MOST
+    spread, common = (got[0] - got[1]) / max(got[2], 1e-9), got[3] / got[4]
+    return float(min(max(common / spread - 1, LEAST), MOST)) if spread > 0 else MOST
 
 
 @dataclass
 class Sites:
-    """Path posteriors, one row per host and path."""
+    """The sums of each path and of its host, one row per host and path, and those of all documents."""
 
     table: DataFrame
     rows: int
+    rate: float  # the global share of good documents to begin with
+    total: float
+    good: float
+    strengths: tuple[float, float]  # of the global prior for hosts, of a host's for paths
+
+
+def _own(rate: float) -> Column:
+    """A document's probability by its own evidence."""
+    return _probability(F.col("llr") + float(np.log(rate / (1 - rate))))
 
 
 def sites(rows: DataFrame, rate: float) -> Sites:
-    """Posteriors from (host, path, llr) of all documents; rate is the global share of good ones to begin with."""
-    p = _probability(F.col("llr") + float(np.log(rate / (1 - rate))))
-    paths = checkpoint(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s")))
-    total = paths.agg(F.sum("n"), F.sum("s"), F.count(F.lit(1))).first()
-    every = float((total[1] + rate) / (total[0] + 1)) if total[0] else rate
-    every = min(max(every, 1e-3), 1 - 1e-3)
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    a, b = _strength(hosts, every), _strength(paths, every)
-    host = hosts.select(F.col("host").alias("h"), ((F.col("s") + a * every) / (F.col("n") + a)).alias("host_posterior"))
-    table = join_small(paths, host, F.col("host").eqNullSafe(F.col("h")), total[2])
-    table = table.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", ((F.col("s") + b * F.col("host_posterior")) / (F.col("n") + b)).alias("path_posterior"))
-    return Sites(checkpoint(table), total[2])
+    """What posteriors need, from (host, path, llr) of all documents."""
+    paths = checkpoint(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(_own(rate)).alias("s")))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+    n, total, good = paths.agg(F.count(F.lit(1)), F.sum("n"), F.sum("s")).first()
+    strengths = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), []), _strength(paths, ["host"])
+    table = join_small(paths, hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")), n)
+    return Sites(checkpoint(table.select("h", F.col("path").alias("p"), "n", "s", "host_n", "host_s")), n, rate, float(total or 0), float(good or 0), strengths)
 
 
 def _combined(rows: DataFrame, by: Sites) -> DataFrame:
-    """rows (host, path, llr and more) with host_posterior, path_posterior and score."""
+    """rows (host, path, llr and more) with host_posterior, path_posterior and score, the row's own evidence counted once."""
+    a, b = by.strengths
+    own = _own(by.rate)
+    every = (by.good - own + by.rate) / by.total if by.total else F.lit(by.rate)
+    every = F.least(F.greatest(every, F.lit(1e-3)), F.lit(1 - 1e-3))
     out = join_small(rows, by.table, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), by.rows)
-    return out.drop("h", "p").withColumn("score", _probability(F.col("llr") + _log_odds(F.col("path_posterior"))))
+    out = out.withColumn("host_posterior", (F.col("host_s") - own + a * every) / (F.col("host_n") - 1 + a))
+    out = out.withColumn("path_posterior", (F.col("s") - own + b * F.col("host_posterior")) / (F.col("n") - 1 + b))
+    return out.drop("h", "p", "n", "s", "host_n", "host_s").withColumn("score", _probability(F.col("llr") + _log_odds(F.col("path_posterior"))))
 
 
 def _prior(labels: DataFrame) -> float:
-    got = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
+    """The share of good ones among the labels that are not held out."""
+    got = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
     return 0.5 if got is None else min(max(float(got), 0.01), 0.99)
 
 
@@ -192,7 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that classify() keeps; the texts are read twice and never shuffled."""
+    """The rows of docs, all columns, that classify() keeps; nulls, repeated rows and empty tables as there.
+
+    The texts are read twice, and shuffled only where there are more than common.BROADCAST_ROWS sites.
+    """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"))
     model = fit(plain, labels)
     by = sites(plain.select("host", "path", evidence(F.col("text"), model).alias("llr")), _prior(labels))
