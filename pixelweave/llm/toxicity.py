@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, row_udf
-from .labelled import held_out, sample
+from .labelled import CHARS, held_out, sample
 from .tokens import Chunks, Memory
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
-EPOCHS, STEPS, BATCH, STEP, SEED = 5, 400, 64, 0.02, 11  # at least so many epochs and steps
+EPOCHS, STEPS, BATCH, STEP, DECAY, SEED = 5, 400, 64, 0.02, 1e-4, 11  # at least so many epochs and steps
 
 #: Words that are convolved at once, and characters of the texts that are numbered at once.
 BLOCK, CHARACTERS = 1 << 16, 1_000_000
@@ -33,7 +33,9 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def parts(word: str) -> list[int]:
-    """Buckets of a word's parts, bucket 0 where it is too short for one."""
+    """Buckets of a word's parts, bucket 0 where it is too short for one; all 0 for the empty word of an empty text."""
+    if not word:
+        return [0] * PARTS
     w = word.lower().strip(_EDGE)
     keys = ["=" + w, *("<" + w[:n] if len(w) > n else "" for n in STARTS), *(">" + w[-n:] if len(w) > n else "" for n in ENDS)]
     return [zlib.crc32(k.encode()) % (BUCKETS - 1) + 1 if k else 0 for k in keys]
@@ -114,6 +116,45 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(x.astype(np.float64), -30, 30)))).tolist()
 
 
+def gradients(m: Model, table: np.ndarray, streams: list[np.ndarray], y: np.ndarray) -> tuple[float, list]:
+    """The mean logistic loss with DECAY of the weights, and its gradients: embedding, filters, bias, weights, offset.
+
+    A stream numbers a text's words by the rows of table, the buckets of their parts, and ends in blanks for the filters.
+    """
+    pad = max(WIDTHS) - 1
+    words, inverse = np.unique(np.concatenate(streams), return_inverse=True)
+    vec = m.vectors(table[words])
+    proj = m.projections(vec)
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
+    pooled, where, k = [], [], 0
+    for f in m.filters:
+        z = proj[k][inverse].copy()
+        for j in range(1, len(f)):
+            z[:-j] += proj[k + j][inverse[j:]]
+        k += len(f)
+        at_max = np.array([a + z[a : b - pad].argmax(axis=0) for a, b in zip(bounds, bounds[1:])])
+        where.append(at_max)
+        pooled.append(z[at_max, np.arange(FILTERS)])
+    h = np.concatenate(pooled, 1) + m.bias
+    r = np.maximum(h, 0)
+    x = np.clip(r @ m.weights + m.offset, -30, 30)
+    loss = float(np.mean(np.logaddexp(0, x) - y * x) + DECAY / 2 * (m.weights**2).sum())
+    g = (1 / (1 + np.exp(-x)) - y) / len(y)
+    gh = np.outer(g, m.weights) * (h > 0)
+    ge, gf = np.zeros(m.embedding.shape), [np.zeros_like(f) for f in m.filters]
+    for i, f in enumerate(m.filters):
+        gz = gh[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(len(f)):
+            w = inverse[where[i] + j]  # texts x FILTERS: the word under place j of the best window
+            gf[i][j] = np.einsum("bfd,bf->df", vec[w], gz)
+            buckets = table[words[w]]
+            share = gz[:, :, None] * f[j].T[None] / np.maximum((buckets > 0).sum(-1), 1)[..., None]
+            for q in range(PARTS):
+                np.add.at(ge, buckets[:, :, q], share)
+    ge[0] = 0
+    return loss, [ge, *gf, gh.sum(0), r.T @ g + DECAY * m.weights, g.sum()]
+
+
 def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> Model:
     """Fit by Adam on the logistic loss; a gradient reaches the words at which a filter has its maximum.
 
@@ -145,42 +186,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> Model:
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            words, inverse = np.unique(np.concatenate([streams[i] for i in batch]), return_inverse=True)
-            vec = m.vectors(table[words])
-            proj = m.projections(vec)
-            bounds = np.concatenate([[0], np.cumsum([len(streams[i]) for i in batch])])
-            pooled, where, k = [], [], 0
-            for f in m.filters:
-                width = len(f)
-                z = proj[k][inverse].copy()
-                for j in range(1, width):
-                    z[:-j] += proj[k + j][inverse[j:]]
-                k += width
-                at_max = np.array([a + z[a : b - pad].argmax(axis=0) for a, b in zip(bounds, bounds[1:])])
-                where.append(at_max)
-                pooled.append(z[at_max, np.arange(FILTERS)])
-            h = np.concatenate(pooled, 1) + m.bias
-            r = np.maximum(h, 0)
-            p = 1 / (1 + np.exp(-np.clip(r @ m.weights + m.offset, -30, 30)))
-            g = (p - y[batch]) / len(batch)
-            gw, gb0 = r.T @ g + 1e-4 * m.weights, g.sum()
-            gh = np.outer(g, m.weights) * (h > 0)
-            ge, gf = np.zeros_like(m.embedding), [np.zeros_like(f) for f in m.filters]
-            for i, f in enumerate(m.filters):
-                gz = gh[:, i * FILTERS : (i + 1) * FILTERS]
-                for j in range(len(f)):
-                    w = inverse[where[i] + j]  # batch x FILTERS: the word under place j of the best window
-                    gf[i][j] = np.einsum("bfd,bf->df", vec[w], gz)
-                    back = gz[:, :, None] * f[j].T[None]
-                    buckets = table[words[w]]
-                    n = np.maximum((buckets > 0).sum(-1), 1)
-                    share = back / n[..., None]
-                    for q in range(PARTS):
-                        np.add.at(ge, buckets[:, :, q], share)
-            ge[0] = 0
+            _, (ge, *rest, gb0) = gradients(m, table, [streams[i] for i in batch], y[batch])
             step += 1
             rate = STEP * min(1.0, step / 20)
-            for v, (a, b), grad in zip(values, moments, [ge, *gf, gh.sum(0), gw]):
+            for v, (a, b), grad in zip(values, moments, [ge, *rest]):
                 a *= 0.9
                 a += 0.1 * grad
                 b *= 0.999
@@ -204,12 +213,12 @@ def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model from a bounded sample of labelled rows (labelled.SAMPLE of each class) that are not held out.
+    """A model from a bounded sample of labelled rows (labelled.SAMPLE and labelled.CHARS of each class), none held out.
 
     A quarter of the sample is left for calibration: the offset is moved so that 0.5 is the threshold for all languages
     together, and each language with enough rows of both classes gets its own. Without rows of both classes: None.
     """
-    rows = sample(docs, labels, "toxic", ["lang"])
+    rows = sample(docs, labels, "toxic", ["lang"], chars=CHARS).collect()
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
         return None
