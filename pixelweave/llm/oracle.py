@@ -40,10 +40,10 @@ r{k + 1} as (select doc_id, source, size, source_size, target, copies, p, rank,
 select doc_id, size, source_size, target, cast(size * (copies + case when taken then 1 else 0 end) as bigint) taken from r{PICKS}"""
 
 
-TOPK_SQL = f"""with v as (select vec_id, min(list_transform(embedding, lambda x: floor({SCALE} * x::double))) v from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0 group by vec_id),
-s as (select q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {EVERY} = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) pos from s)
+TOPK_SQL = f"""with v as (select row_number() over () pos, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (select q.pos own, q.vec_id query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) score from v q join v c on q.pos <> c.pos and len(q.v) = len(c.v) where q.vec_id % {EVERY} = 0),
+r as (select *, row_number() over (partition by own order by score desc, vec_id) pos from s)
 select query_id, cast(pos as integer) rank, vec_id, score from r where pos <= {TOP}"""
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

@@ -23,7 +23,7 @@ def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return topk.top_k(rows, rows.where(F.col("vec_id") % topk.EVERY == 0))
+    return topk.top_k(rows, F.col("vec_id") % topk.EVERY == 0)
 
 
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.fingerprints(documents(spark, sf_dir))
     code = F.sha2(F.concat_ws(";", F.array_join("fp_times", ","), F.array_join("fp_codes", ",")), 256)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("fp_codes"), code).alias("feature"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", F.size("fp_codes"), code).alias("feature"), "fp_times", "fp_codes")
 
 
 def op9_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import re
 import wave
 import zlib
 from array import array
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pixelweave.llm import chat, linkgraph, media, mixing, oracle, packing, quality, queries, simhash, tokens, topk, toxicity
+from pixelweave.llm import chat, labelled, linkgraph, media, mixing, oracle, packing, quality, queries, simhash, tokens, topk, toxicity
 from pixelweave.llm.labelled import held_out
 
 from ..oracle import same
@@ -55,6 +56,32 @@ def test_mix_comes_near_its_targets_and_agrees_with_itself(spark):
     assert math.isclose(sum(target.values()), sum(size.values()))
 
 
+def test_documents_are_drawn_with_their_own_probabilities(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(["w"] * int(n)), "a" if i % 2 else "b") for i, n in enumerate(rng.lognormal(3, 1, 12_000))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    drawn = defaultdict(list)
+    for r in got:
+        if r.size:
+            drawn[r.source, len(bin(r.size)) - 2, round(r.p, 9)].append(r.times)
+    checked, probabilities = 0, set()
+    for (source, _, p), times in drawn.items():
+        if p and len(times) >= 200:
+            rate = np.mean([t - min(times) for t in times]) if len(set(times)) == 2 else float(p > 0.5)
+            assert max(times) - min(times) <= 1 and abs(rate - p) < 4 * math.sqrt(p * (1 - p) / len(times)) + 0.01
+            probabilities.add((source, p))
+            checked += 1
+    assert checked >= 6 and len(probabilities) == checked  # they differ by document
+
+
+def test_equal_rows_do_not_overshoot(spark):
+    rows = [(1, "w " * 50, "a")] * 40 + [(k, "w " * (20 + k), "b") for k in range(30)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source, bound in (("a", 1000), ("b", 25)):  # all equal rows are taken alike, so a can be half of them off
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.times for r in own) - own[0].target) <= bound
+
+
 def _targets(sizes, weights=(5, 2, 1), cap=3):
     """Share, stop at the cap, share the excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -217,6 +244,73 @@ def test_crowds_that_share_a_passage_lose_no_pair(spark, monkeypatch):
     assert _kept(spark, texts) == _firsts(texts)
 
 
+def test_near_copies_under_clashing_names_nulls_and_repeats(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    names = ["__mark", "__k_id", "row", "doc_id", "mark", "id", "root", "gd", "text", "key", "n"]
+    rows = [(k, 7, "x", i, 1, 2, 3, 4, t, 5, 6) for k, (i, t) in enumerate([(3, text), (2, text + " more"), (2, text + " more"), (None, text), (9, None), (8, " "), (7, "other words here"), (None, "other words here")])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c in ('row', 'text') else 'long'}" for c in names))
+    got = simhash.keep_one(df)
+    assert got.columns == names and sorted((r.doc_id, r.text) for r in got.collect()) == [(2, text + " more"), (7, "other words here"), (8, " ")]
+
+
+def test_a_gradient_of_near_copies_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "SHINGLES", 3000)
+    rng = np.random.default_rng(15)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for k in range(240):  # similar to some of the group, and less than the threshold to most
+        w = list(base)
+        for i in rng.choice(150, rng.integers(1, 9), replace=False):
+            w[i] = f"x{rng.integers(40)}"
+        texts.append(" ".join(w))
+    texts = list(dict.fromkeys(texts))
+    want = _firsts(texts)
+    assert 10 < len(want) < 200 and _kept(spark, texts) == want
+
+
+def test_near_copies_of_documents_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 20000")
+    rows = [(r.doc_id, re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), r.text or "").strip(" \t\n\v\f\r"))) for r in docs.select("doc_id", "text").collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for _, w in rows]
+    at = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            at[x].append(k)
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    seen = set()
+    for ks in at.values():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                        root[top(a)] = top(b)
+    least = defaultdict(lambda: 1 << 60)
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least[top(k)], i)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(least.values())
+
+
+def test_fingerprints_of_similar_sets_are_within_the_radius():
+    rng, most = np.random.default_rng(16), {True: 0, False: 0}
+    for n in (5, 6, 9, 10, 18, 31, 40, 100, 400):
+        for _ in range(300):
+            shared = rng.integers(0, 2**63, n, dtype=np.uint64)
+            apart = int(n / 0.8 - n + 1e-9)  # of the least similarity that counts
+            own = int(rng.integers(0, apart + 1))
+            a, b = (np.unique(np.concatenate([shared, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (own, apart - own))
+            assert simhash.similar(a, b)
+            few = min(len(a), len(b)) < simhash.FEW
+            most[few] = max(most[few], int(np.bitwise_count((simhash.set_print(a) ^ simhash.set_print(b)).view(np.uint64)).sum()))
+    assert most[True] <= simhash.FEW_RADIUS and most[False] <= simhash.NEAR_RADIUS
+
+
 def test_a_link_between_two_closer_pairs_stays(spark):
     texts = []
     for g in range(60):  # a-b and c-e are closest, b-c is within the threshold, and no other pair is
@@ -240,23 +334,24 @@ def test_one_of_each_odd_group_stays(spark):
 
 def test_top_k_equals_a_scan_with_ties_and_bad_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 64)
-    monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (400, 8)).round(1))]
     rows[7] = (7, None)
     rows[8] = (8, [None, *rows[8][1][1:]])
     rows[9] = (9, [float("nan")] * 8)
     rows[50] = (50, [float("inf")] * 8)
-    rows += [(1000 + i, rows[100][1]) for i in range(30)] + [(1, rows[1][1]), (2001, [0.5, 0.5]), (2050, [0.25, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 50 = 0")).collect()}
-    good = {i: [math.floor(256 * x) for x in v] for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
-    want = {}
-    for q in (i for i in good if i % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]))
-        want |= {(q, k + 1): (i, -n) for k, (n, i) in enumerate(s[:5])}
-    assert got == want and (2050, 1) in got and (2050, 2) not in got
-    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    rows += [(1000 + i, rows[100][1]) for i in range(30)] + [(1, rows[1][1]), (100, rows[3][1]), (2001, [0.5, 0.5]), (2050, [0.25, 1.0]), (None, rows[4][1])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, row int, shard int, asks int")
+    asked = F.col("vec_id") % 50 == 0
+    got = sorted(tuple(r) for r in topk.top_k(df, asked).collect())
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for at, (q, own) in enumerate(good):
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(own, v)), i) for k, (i, v) in enumerate(good) if k != at and len(v) == len(own))
+            want += [(q, k + 1, i, -n) for k, (n, i) in enumerate(s[:5])]
+    assert got == sorted(want) and [g[1] for g in got if g[0] == 2050] == [1] and sum(g[0] == 100 for g in got) == 10
+    assert topk.top_k(df.limit(0), asked).count() == 0
 
 
 # ---- 4
@@ -387,6 +482,50 @@ def test_scores_do_not_depend_on_batches_or_blocks(monkeypatch):
     assert np.mean([(s >= 0.5) == bool(k % 2) for k, s in enumerate(whole[:60])]) > 0.9
 
 
+def test_scores_equal_nested_loops():
+    rng = np.random.default_rng(21)
+    texts = [" ".join(rng.choice(["ab", "awful", "Cde!", "longerword", "x"], n)) for n in (1, 2, 3, 7, 12)] + ["", None]
+    m = toxicity.train([t or "" for t in texts], np.array([0, 1, 0, 1, 0, 1, 0.0]))
+    want = []
+    for t in texts:
+        vectors = []
+        for w in (t or "").split() or [None]:
+            ids = [i for i in toxicity.parts(w) if i] if w else []
+            vectors.append(sum((m.embedding[i] for i in ids), np.zeros(toxicity.DIM)) / max(len(ids), 1))
+        blank = [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+        x, k = m.offset, 0
+        for f in m.filters:
+            for c in range(toxicity.FILTERS):
+                best = max(sum(float((vectors + blank)[i + j] @ f[j][:, c]) for j in range(len(f))) for i in range(len(vectors)))
+                x += max(best + m.bias[k], 0) * m.weights[k]
+                k += 1
+        want.append(1 / (1 + math.exp(-x)))
+    assert np.allclose(toxicity.Scorer(m).scores(texts), want, atol=1e-4)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(22)
+    n, size = len(toxicity.WIDTHS) * toxicity.FILTERS, 40
+    filters = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    m = toxicity.Model(rng.normal(0, 0.5, (size, toxicity.DIM)), filters, rng.normal(0, 0.2, n), rng.normal(0, 0.5, n), 0.1, {})
+    m.embedding[0] = 0
+    table = np.concatenate([np.zeros((1, toxicity.PARTS), np.int32), rng.integers(0, size, (12, toxicity.PARTS)).astype(np.int32)])
+    streams = [np.array([*rng.integers(1, 13, k), 0, 0]) for k in (1, 2, 5, 9)]
+    y = np.array([0, 1, 1, 0.0])
+    loss, grads = toxicity.gradients(m, table, streams, y)
+    for values, grad in zip([m.embedding, *m.filters, m.bias, m.weights], grads):
+        for _ in range(25):
+            at = tuple(int(rng.integers(0 if k else int(values is m.embedding), d)) for k, d in enumerate(values.shape))
+            kept, around = values[at], []
+            for e in (1e-6, -1e-6):
+                values[at] = kept + e
+                around.append(toxicity.gradients(m, table, streams, y)[0])
+            values[at] = kept
+            assert abs((around[0] - around[1]) / 2e-6 - grad[at]) < 1e-5
+    m.offset += 1e-6
+    assert abs((toxicity.gradients(m, table, streams, y)[0] - loss) / 1e-6 - grads[-1]) < 1e-4
+
+
 def test_classifiers_take_odd_rows(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     none = labels.limit(0)
@@ -404,12 +543,66 @@ def test_quality_agrees_with_labels(spark):
     assert sum(r.keep == bool(r.quality) for r in rows) >= 0.98 * len(rows)
 
 
-def test_sparse_sites_are_shrunk_toward_global_and_host(spark):
-    rows = [("big", "p", 3.0)] * 200 + [("bad", "p", -6.0)] * 200 + [("tiny", "p", -6.0), (None, None, 2.0)] + [("big", "rare", -6.0)]
-    s = quality.sites(spark.createDataFrame(rows, "host string, path string, llr double"), 0.7)
-    got = {(r.h, r.p): (r.host_posterior, r.path_posterior) for r in s.table.collect()}
-    assert got["bad", "p"][1] < 0.1 < got["tiny", "p"][1] and got["big", "p"][1] > 0.9
-    assert got["big", "rare"][1] > got["tiny", "p"][1] and (None, None) in got
+def _posteriors(rows, rate):
+    """Host and path posteriors and scores by plain sums over the other rows."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    p = [sigmoid(r[2] + math.log(rate / (1 - rate))) for r in rows]
+
+    def strength(groups):  # groups of groups of probabilities
+        between = noise = weight = total = common = 0.0
+        for group in groups:
+            flat = [x for part in group for x in part]
+            mean = sum(flat) / len(flat)
+            between += sum(len(part) * (sum(part) / len(part) - mean) ** 2 for part in group)
+            noise += (len(group) - 1) * mean * (1 - mean)
+            weight += len(flat) - sum(len(part) ** 2 for part in group) / len(flat)
+            total, common = total + len(flat), common + len(flat) * mean * (1 - mean)
+        spread = (between - noise) / max(weight, 1e-9)
+        if max(map(len, groups)) < 2 or spread <= 0:
+            return quality.MOST
+        return min(max(common / total / spread - 1, quality.LEAST), quality.MOST)
+
+    by = defaultdict(lambda: defaultdict(list))
+    for r, x in zip(rows, p):
+        by[r[0]][r[1]].append(x)
+    a = strength([[[x for part in paths.values() for x in part] for paths in by.values()]])
+    b = strength([list(paths.values()) for paths in by.values()])
+    out = []
+    for i, r in enumerate(rows):
+        others = [(q[0], q[1], x) for k, (q, x) in enumerate(zip(rows, p)) if k != i]
+        mean = lambda xs, m, prior: (sum(xs) + m * prior) / (len(xs) + m)
+        every = min(max(mean([x for _, _, x in others], 1, rate), 1e-3), 1 - 1e-3)
+        host = mean([x for h, _, x in others if h == r[0]], a, every)
+        path = mean([x for h, q, x in others if (h, q) == r[:2]], b, host)
+        out.append((host, path, sigmoid(r[2] + math.log(path / (1 - path)))))
+    return out
+
+
+def test_posteriors_equal_plain_sums_over_the_other_documents(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for host, paths in (("a", 4), ("b", 2), (None, 2), ("c", 1), ("d", 3)):
+        level = rng.normal(0, 0.6)
+        for k in range(paths):
+            rows += [(host, None if k == 1 else f"p{k}", float(x)) for x in rng.normal(level + rng.normal(0, 0.8), 1, int(rng.integers(1, 60)))]
+    rows += [("lonely", "p", -3.0), ("a", "p0", rows[0][2])]
+    df = spark.createDataFrame(rows, "host string, path string, llr double")
+    by = quality.sites(df, 0.7)
+    got = sorted((r.llr, r.host_posterior, r.path_posterior, r.score) for r in quality._combined(df, by).collect())
+    want = sorted((r[2], *w) for r, w in zip(rows, _posteriors(rows, 0.7)))
+    assert np.allclose(got, want, atol=1e-9) and any(quality.LEAST < x < quality.MOST for x in by.strengths)
+    alone = quality._combined(df.where("host = 'lonely'"), by).first()  # no other document there: the global prior
+    assert np.isclose(alone.path_posterior, alone.host_posterior) and 0.3 < alone.path_posterior < 0.9
+
+
+def test_the_prior_and_samples_leave_out_held_out_labels(spark):
+    labels = spark.createDataFrame([(i, int(zlib.crc32(str(i).encode()) % 5 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    assert quality._prior(labels) == 0.01
+    docs = spark.createDataFrame([(i, "x" * (i % 7 * 10)) for i in range(100, 300)], "doc_id long, text string")
+    got = labelled.sample(docs, labels, "quality", size=30).collect()
+    assert len(got) == 30 and {r.label for r in got} == {0}  # as many as asked for, though half of the labels have no text
+    short = labelled.sample(docs, labels, "quality", size=30, chars=500).collect()
+    assert [r.text for r in short] == [r.text for r in got][: len(short)] and sum(len(r.text) for r in short) <= 500 < sum(len(r.text) for r in got[: len(short) + 1])
 
 
 # ---- 7
@@ -471,14 +664,58 @@ def test_clips_hold_the_texts(spark):
     assert found[5].fp_codes == found[6].fp_codes and media.fingerprints(empty(spark)).count() == 0
 
 
-def test_peaks_are_the_strongest_frequencies(monkeypatch):
-    t = np.arange(media.FRAME * 6)
-    tone = (128 + 60 * np.sin(2 * np.pi * np.repeat([10, 40, 90], media.FRAME * 2) * t / media.FRAME)).astype(np.uint8)
-    assert media.peaks(tone).tolist() == [10, 10, 40, 40, 90, 90]
-    monkeypatch.setattr(media, "BLOCK", 2)
-    assert media.peaks(tone).tolist() == [10, 10, 40, 40, 90, 90]
-    times, codes = media.pairs(np.array([3, 5, 7]))
-    assert times.tolist() == [0, 0, 1] and codes.tolist() == [3 << 16 | 5 << 4 | 1, 3 << 16 | 7 << 4 | 2, 5 << 16 | 7 << 4 | 1]
+def _landmarks(payload):
+    """Pairs of spectral peaks by a direct transform and plain loops."""
+    n = -(-len(payload) // media.HOP)
+    x = np.full(n * media.HOP + media.FRAME, 128.0)
+    x[: len(payload)] = list(payload)
+    angle = 2j * np.pi * np.outer(np.arange(1, media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    rows = []
+    for k in range(n):
+        frame = x[k * media.HOP : k * media.HOP + media.FRAME] - 128
+        rows.append(np.abs(np.exp(-angle) @ ((frame - frame.mean()) * hann)))
+    power, peaks = np.array(rows), []
+    for t in range(n):
+        for f in range(power.shape[1]):
+            around = power[max(t - 1, 0) : t + 2, max(f - media.REACH, 0) : f + media.REACH + 1]
+            if power[t, f] > 0.05 and power[t, f] >= around.max() - 1e-9:
+                peaks.append((t, f, media.STEPS * math.log2(power[t, f])))
+    out = set()
+    for i, (t, f, level) in enumerate(peaks):
+        for u, g, other in peaks[i + 1 : i + 1 + media.FAN]:
+            out.add((t, f, g, u - t, other - level))
+    return out
+
+
+def test_fingerprints_equal_a_direct_transform(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 200 and 1500").limit(10).collect()]
+    payloads = [(b := t.encode()) + b" " * (-len(b) % 192) for t in texts]
+    for payload, (times, codes) in zip(payloads, media.fingerprint(payloads)):
+        got = {(int(t), int(c) >> 17, int(c) >> 12 & 31, int(c) >> 6 & 63): (int(c) & 63) - 32 for t, c in zip(times, codes)}
+        want = {w[:4]: w[4] for w in _landmarks(payload)}
+        # magnitudes are rounded to tenths, so that a few close neighbours are equal
+        both = got.keys() & want.keys()
+        assert len(both) >= 0.9 * max(len(got), len(want)) and all(abs(got[k] - min(max(want[k], -32), 31)) <= 1.1 for k in both)
+
+
+def test_fingerprints_do_not_depend_on_other_clips_or_blocks(monkeypatch):
+    rng = np.random.default_rng(13)
+    payloads = [bytes(rng.integers(32, 127, 192 * k).astype(np.uint8)) for k in (1, 5, 2, 40, 1)] + [b" " * 192]
+    whole = media.fingerprint(payloads)
+    monkeypatch.setattr(media, "BLOCK", 7)
+    for p, a, b in zip(payloads, whole, media.fingerprint(payloads)):
+        alone = media.fingerprint([p])[0]
+        assert all((x == y).all() and (x == z).all() for x, y, z in zip(a, b, alone))
+    assert [len(t) > 0 for t, _ in whole] == [True] * 5 + [False]
+
+
+def test_distinct_short_texts_have_distinct_fingerprints(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    texts = list(dict.fromkeys(t for x in texts for t in (x[:4000], " ".join(x.split()[:6]), " ".join(x.split()[6:13])) if len(t.encode()) >= 32))
+    payloads = [(b := t.encode()) + b" " * (-len(b) % 192) for t in texts]
+    codes = [(t.tobytes(), c.tobytes()) for t, c in media.fingerprint(payloads)]
+    assert len(texts) > 1500 and len(set(codes)) >= 0.99 * len(texts)
 
 
 # ---- 9
