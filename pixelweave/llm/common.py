@@ -5,40 +5,29 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpoint as checkpoint
+from ..plans.checkpoints import folder
+
 #: Rows up to which a table may be broadcast; above, the join is shuffled (adaptive execution splits hot keys).
 BROADCAST_ROWS = 50_000
 
-#: Rows of an Arrow batch; the usual 10,000 long texts would hold much memory in both the JVM and Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; the usual 10,000 long texts would hold much memory in both the JVM and Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: The white space of the contracts, and what is between it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir, so that lost executors lose no rows."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        # only where the cluster names none, as in tests
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table of this run in the shared folder, read again."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        checkpoint(df.sparkSession.range(0).toDF("id"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}/{name}"
+    """df as a Parquet table of this run in the shared folder, read again. It stays there for whoever needs it."""
+    path = f"{folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -49,10 +38,15 @@ def join_small(df: DataFrame, small: DataFrame, on: Column, rows: int, how: str
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Send long texts to Python in batches of BATCH_ROWS rows, unless the session names a smaller number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Send rows to Python in batches of BATCH_ROWS and BATCH_BYTES, unless the session names its own bytes and fewer rows.
+
+    Plans read these settings when they run, so they stay set in the session; they change no result.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if spark.conf.get(size, str(BATCH_BYTES + 1)) == str(BATCH_BYTES + 1):  # not set
+        spark.conf.set(size, BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +61,9 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 256) -> DataFrame:
-    """Stream rows through fn, some hundred at a time: fn gets a list for each input column and returns one for each output column."""
+def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, rows: int = 256, held: list | None = None) -> DataFrame:
+    """Stream rows through fn, some hundred at a time: fn gets a list for each input column and returns one for each output
+    column. held: what fn keeps for a task, which is let go at the end."""
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -85,24 +80,33 @@ def map_batches(df: DataFrame, fn: Callable[[list[list]], list], schema: str, ro
                     yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(out, target, strict=True)], schema=target)
         finally:
             gc.enable()
+            if held is not None:
+                held.clear()
             give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def row_udf(fn: Callable[[list], list], schema: str, rows: int = 256) -> Callable[[Column], Column]:
-    """A vectorised column function of one column, some hundred rows at a time; for operators that keep all columns of their input."""
+def row_udf(fn: Callable[[list], list], schema: str, rows: int = 256, held: list | None = None) -> Callable[[Column], Column]:
+    """A column function of one column over Arrow batches, some hundred rows at a time; for operators that keep all columns
+    of their input. held: as in map_batches()."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(f"v {schema}")).field(0).type
     small_batches(SparkSession.active())
 
-    @F.pandas_udf(schema)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for values in batches:
                 out: list = []
                 for at in range(0, len(values), rows):
-                    out += fn(list(values.iloc[at : at + rows]))
-                yield pd.Series(out, dtype="float64" if schema == "double" else "int64" if schema == "long" else object)
+                    out += fn(values.slice(at, rows).to_pylist())
+                yield pa.array(out, kind)
         finally:
+            if held is not None:
+                held.clear()
             give_back()
 
     return run

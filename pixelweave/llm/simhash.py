@@ -231,7 +231,7 @@ class ShingleSets:
     """Sets of 64-bit hashes of the shingles of texts; the hashes of words are remembered in bounded generations."""
 
     def __init__(self, shingle: int = NEAR_SHINGLE):
-        self.shingle, self.words = shingle, Memory(lambda w: xxhash.xxh64_intdigest(w, SEED), 200_000)
+        self.shingle, self.words = shingle, Memory(lambda w: xxhash.xxh64_intdigest(w, SEED), 50_000)
 
     def of(self, text: bytes | None) -> np.ndarray:
         """The sorted hashes of the distinct shingles of a whole text, words as in fingerprint(); no word gives none. Fewer
@@ -287,7 +287,7 @@ def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.n
         made[:] = made or [ShingleSets(shingle)]
         return [[made[0].of(t).view(np.int64) for t in cols[0]]]
 
-    words = map_batches(some, work, "v array<long>").select(F.explode("v").alias("v"))
+    words = map_batches(some, work, "v array<long>", held=made).select(F.explode("v").alias("v"))
     top = words.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "v").limit(COMMON).collect()
     v, n = np.array([r.v for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(v)
@@ -305,7 +305,7 @@ def _described(texts: DataFrame, common: np.ndarray, counts: np.ndarray, shingle
         ids = [signed(xxhash.xxh64_intdigest(v.tobytes(), SEED)) for v in sets]
         return [cols[0], cols[1], ids, list(map(len, sets)), [set_print(v) for v in sets], [prefix(v, common, counts, similarity).view(np.int64) for v in sets]]
 
-    return map_batches(texts.select("doc_id", "mark", "text"), work, f"doc_id {kind}, mark long, id long, n long, fp array<long>, keys array<long>")
+    return map_batches(texts.select("doc_id", "mark", "text"), work, f"doc_id {kind}, mark long, id long, n long, fp array<long>, keys array<long>", held=made)
 
 
 def _near(similarity: float) -> Column:
@@ -377,20 +377,20 @@ def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
     found = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), info, texts)
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     made: list[ShingleSets] = []
-    last: list = [None, None]
+    last: list = []
 
     def work(cols: list[list]) -> list[list]:
         made[:] = made or [ShingleSets(shingle)]
         out: list[list] = [[], []]
         for a, b, ta, tb in zip(*cols):
-            if last[0] != b:  # many members meet the same one
+            if last[:1] != [b]:  # many members meet the same one
                 last[:] = b, made[0].of(tb)
             if similar(made[0].of(ta), last[1], similarity):
                 out[0].append(a)
                 out[1].append(b)
         return out
 
-    return checkpoint(map_batches(both.select("a", "b", "ta", "tb"), work, "a long, b long", 64))
+    return checkpoint(map_batches(both.select("a", "b", "ta", "tb"), work, "a long, b long", 64, made))
 
 
 def _met(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -413,9 +413,9 @@ def _met(members: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return blocks.select(*[F.col("m")[c].alias(c) for c in (*columns, "part")])
 
 
-def _links(blocks: DataFrame, work: Callable[..., tuple[list, list]]) -> DataFrame:
+def _links(blocks: DataFrame, work: Callable[..., tuple[list, list]], held: list | None = None) -> DataFrame:
     """The links that work finds in each block, as rows (a, b)."""
-    found = map_batches(blocks, lambda cols: list(map(list, zip(*[work(*row) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 1)
+    found = map_batches(blocks, lambda cols: list(map(list, zip(*[work(*row) for row in zip(*cols)]))) or [[], []], "a array<long>, b array<long>", 1, held)
     return found.select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
 
 
@@ -474,7 +474,7 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
         made[:] = made or [ShingleSets(shingle)]
         return _similar_links(*[row[k] for k in (0, 1, 2, 3, 5, 4)], made[0], similarity)
 
-    linked = linked.unionByName(checkpoint(_links(_met(members, "cluster", ["id", "root", "n", "fp", "text"]), work)))
+    linked = linked.unionByName(checkpoint(_links(_met(members, "cluster", ["id", "root", "n", "fp", "text"]), work, made)))
     roots = checkpoint(components(linked)).withColumnRenamed("node", "id")
     return prints.select("doc_id", "mark", "id").join(roots, "id", "left").select("doc_id", "mark", F.coalesce("root", "id").alias("root"))
 

@@ -252,7 +252,7 @@ def scores(text: Column, model: Model | None) -> Column:
             made.append(Scorer(model))
         return made[0].scores(texts)
 
-    return row_udf(work, "double", 1000)(text.cast("string"))
+    return row_udf(work, "double", 1000, made)(text.cast("string"))
 
 
 def flagged(score: Column, lang: Column, model: Model | None) -> Column:
