@@ -278,7 +278,7 @@ def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, similarit
 def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Shingles that are common in a sample of the distinct texts (mark, text), sorted, their counts, and the texts that
     one of the sample stands for. Any list gives the same links: it only moves common shingles to the end of the order, so
-    that few documents meet at them, and tells which need several shards from the start."""
+    that few documents meet at them, and tells which keys are too crowded for one task."""
     every = max(1, rows // SAMPLE)
     some = texts.where(F.pmod("mark", F.lit(every)) == 0).groupBy("mark").agg(F.first("text").alias("text")).select("text")
     made: list[ShingleSets] = []
@@ -424,8 +424,7 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
 
     1. Equal sets are one node, with its size and a SimHash fingerprint.
     2. Similar sets share one of the first shingles of each, in an order that all sets have in common (prefix filter), so
-       nodes are dealt into shards by these: no similar pair misses each other. A shingle that is common in a sample has
-       several shards from the start.
+       nodes are dealt into shards by these: no similar pair misses each other.
     3. Each node meets the least and the greatest node of its shard. After that only pairs that are not linked yet are of
        use, so a group of near copies is not expanded into pairs.
     4. They are found by the BK-trees of a key's shards of about CROWD rows, each shard with each other. What such pairs
@@ -438,22 +437,19 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
     size = info.select("id", "n", "fp")
     # equal sets have equal keys: each key of a node once
     keys = prints.groupBy("id").agg(F.first("keys").alias("keys")).select("id", F.explode("keys").alias("key"))
-    hot = [(int(v), int(-(-n * every // CROWD))) for v, n in zip(common.view(np.int64), counts) if n * every > CROWD]
-    if hot:
-        keys = keys.join(F.broadcast(texts.sparkSession.createDataFrame(hot, "key long, parts long")), "key", "left")  # COMMON rows at most
-        keys = keys.select("key", "id", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id"), "parts")).alias("deal"))
-    else:
-        keys = keys.select("key", "id", F.lit(0).cast("long").alias("deal"))
-    shard = Window.partitionBy("key", "deal")
-    shared = keys.withColumn("lo", F.min("id").over(shard)).withColumn("hi", F.max("id").over(shard))
-    shared = checkpoint(shared.where((F.col("lo") != F.col("hi")) | (F.col("deal") > 0)))
+    # a key that many share: its ends by partial sums, and no row of it is moved; of others all rows meet in a task
+    crowded = [(int(v),) for v, n in zip(common.view(np.int64), counts) if n * every > CROWD]
+    shard = Window.partitionBy("key")
+    if crowded:
+        crowded = F.broadcast(texts.sparkSession.createDataFrame(crowded, "key long"))  # COMMON rows at most
+        hot = keys.join(crowded, "key", "left_semi")
+        ends = hot.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        hot, keys = hot.join(F.broadcast(ends), "key"), keys.join(crowded, "key", "left_anti")
+    shared = keys.select("key", "id").withColumn("lo", F.min("id").over(shard)).withColumn("hi", F.max("id").over(shard))
+    shared = checkpoint((shared.unionByName(hot) if crowded else shared).where(F.col("lo") != F.col("hi")))
     linked = None
-    heads = shared.where("deal > 0").groupBy("key", "deal").agg(F.min("lo").alias("lo"))
-    heads = heads.join(heads.groupBy("key").agg(F.min("lo").alias("b")), "key").select(F.col("lo").alias("a"), "b")
     for end in ("lo", "hi"):
         pairs = shared.select(F.col("id").alias("a"), F.col(end).alias("b"))
-        if end == "lo":
-            pairs = pairs.unionByName(heads)
         pairs = pairs.where("a <> b").distinct()
         if linked is not None:
             pairs = _unlinked(pairs, roots)

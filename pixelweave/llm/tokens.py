@@ -32,7 +32,7 @@ from .common import map_batches
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words and chunks that a generation of a memory holds, and the longest ones that it keeps.
-WORDS, CHUNKS, LONGEST = 100_000, 60_000, 64
+WORDS, CHUNKS, LONGEST = 60_000, 40_000, 64
 
 #: Symbols of a head that words share, and heads that a generation holds.
 HEAD, HEADS = 6, 30_000
@@ -43,7 +43,7 @@ FITS = 200_000
 LIMIT = 2048
 
 #: Texts whose chunks are numbered at once.
-ROWS = 1000
+ROWS = 400
 
 #: str.split() also divides at these four, which are not white space to the tokenizer.
 _CONTROL = re.compile(r"[\x1c-\x1f]")
