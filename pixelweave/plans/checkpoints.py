@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +24,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that lost executors lose no rows."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have the files of plans that a checkpoint has replaced removed now: Spark deletes shuffles that nothing refers to when
+    the driver collects garbage, which many small steps would not make it do for long."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoints import checkpoint
+from .checkpoints import checkpoint, tidy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
         hub = up.groupBy("a").agg(F.min("b").alias("hub"))
         down = up.join(hub, "a").select(F.col("b").alias("a"), F.col("hub").alias("b")).unionByName(hub.select("a", F.col("hub").alias("b")))
         links = checkpoint(down.where(F.col("a") != F.col("b")).distinct())
+        tidy(links.sparkSession)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
