@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from ..plans.checkpoints import checkpoint as checkpoint
 from ..plans.checkpoints import folder
+from ..plans.checkpoints import tidy as tidy
 
 #: Rows up to which a table may be broadcast; above, the join is shuffled (adaptive execution splits hot keys).
 BROADCAST_ROWS = 50_000
 
 #: Rows and bytes of an Arrow batch; the usual 10,000 long texts would hold much memory in both the JVM and Python.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 #: The white space of the contracts, and what is between it.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from .common import checkpoint, join_small, map_batches, row_udf
+from .common import checkpoint, join_small, map_batches, row_udf, tidy
 from .tokens import Memory
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -447,6 +447,7 @@ def near_classes(texts: DataFrame, rows: int, shingle: int = NEAR_SHINGLE, simil
         hot, keys = hot.join(F.broadcast(ends), "key"), keys.join(crowded, "key", "left_anti")
     shared = keys.select("key", "id").withColumn("lo", F.min("id").over(shard)).withColumn("hi", F.max("id").over(shard))
     shared = checkpoint((shared.unionByName(hot) if crowded else shared).where(F.col("lo") != F.col("hi")))
+    tidy(texts.sparkSession)
     linked = None
     for end in ("lo", "hi"):
         pairs = shared.select(F.col("id").alias("a"), F.col(end).alias("b"))
