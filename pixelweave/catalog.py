@@ -874,11 +874,24 @@ for _id, _text, _exprs in (
     register(_basis_sql(*_exprs), _id)(_basis(_text))
 
 
-@register("select * from (values (0, 'secular', null::double), (1, 'seasonal', 365.25::double), (2, 'seasonal', 365.25::double), (3, 'transient', 10.0::double)) v(i, kind, timescale)")
+_TYPED = "constant();linear(tref=2022-01-01);quadratic(tref=2022-01-01);cos(tref=2022-01-01,period=365.25);sin(tref=2022-01-01,period=180);geolog(tref=2022-02-01,tau=10);bspline(tref=2022-03-02,scale=50,order=3);ispline(tref=2022-03-02,scale=40,order=3);pbspline(tref=2022-03-02,scale=30,order=3,period=120)"
+
+
+@register(
+    f"with {_BANDS}, f as (select i - 1 as i, regexp_extract(t, '^[a-z]+') as name, regexp_extract(t, 'period=([0-9.]+)', 1) as period, regexp_extract(t, 'scale=([0-9.]+)', 1) as scale from (select unnest(string_split('{_TYPED}', ';')) t, unnest(range(1, 100)) i) where t is not null), "
+    "s as (select abs(date_diff('day', min(date), max(date))) / 365.0::double as span from b) "
+    "select cast(i as int) i, case when name in ('constant', 'linear') then 'secular' when name in ('cos', 'sin', 'bspline') then 'seasonal' when name = 'ispline' then 'transient' end as kind, name in ('bspline', 'ispline') as regularised, "
+    + R("case when name in ('constant', 'linear') then span when name in ('cos', 'sin') then try_cast(period as double) when name in ('bspline', 'ispline') then try_cast(scale as double) end")
+    + " as timescale from f, s"
+)
 def f27_function_types(spark, d):
-    fns = timefn.parse("constant();cos(tref=2022-01-01,period=365.25);sin(tref=2022-01-01,period=365.25);geolog(tref=2022-02-01,tau=10)")
-    rows = [(i, k, None if s is None else float(s)) for i, (k, s) in enumerate(zip(timefn.function_types(fns), timefn.timescales(fns)))]
-    return spark.createDataFrame(rows, "i int, kind string, timescale double")
+    fns = timefn.parse(_TYPED)
+    kinds = timefn.function_types(fns)
+    first, last = X.bands(spark).agg(F.min("date"), F.max("date")).first()
+    named = {i: kind for kind in ("secular", "seasonal", "transient", "step") for i in kinds[kind]}
+    rows = [(i, named.get(i), i in kinds["reg"], s) for i, s in enumerate(timefn.timescales(fns, [first, last]))]
+    df = spark.createDataFrame(rows, "i int, kind string, regularised boolean, timescale double")
+    return df.withColumn("timescale", rnd(F.nanvl("timescale", F.lit(None).cast("double"))))
 
 
 @register(_basis_sql("case when date >= date '2022-03-02' then 1 else 0 end", f"cos(2*pi()*{_TN}/90)", f"sin(2*pi()*{_TN}/90)", f"case when {_TN} >= 0 then ln(1 + abs({_TN}/40)) else 0 end", _TN, f"power({_TN},2)"))

@@ -249,15 +249,32 @@ def parse(text: str) -> Collection:
     return out
 
 
-def function_types(fns: Collection) -> list[str]:
-    """A kind for each column: secular, seasonal or transient."""
-    kinds = {"constant": "secular", "power": "secular", "linear": "secular", "quadratic": "secular", "cubic": "secular", "quartic": "secular", "cos": "seasonal", "sin": "seasonal", "pbspline": "seasonal"}
-    return [kinds.get(f.name, "transient") for f in fns]
-
-
-def timescales(fns: Collection) -> list[float | None]:
-    """The period, scale or decay of each column, in its unit."""
-    return [next((f.params[k] for k in ("period", "scale", "tau") if k in f.params), None) for f in fns]
+#: The classes of a function. Those that are not named here have none. No function is a step of its own.
+CLASSES = {
+    "constant": ("secular",),
+    "linear": ("secular",),
+    "cos": ("seasonal",),
+    "sin": ("seasonal",),
+    "bspline": ("seasonal", "reg"),
+    "ispline": ("transient", "reg"),
+}
+
+
+def function_types(fns: Collection) -> dict[str, list[int]]:
+    """The places of the columns of each class; reg are those that an inversion regularises."""
+    return {c: [i for i, f in enumerate(fns) if c in CLASSES.get(f.name, ())] for c in ("secular", "seasonal", "transient", "step", "reg")}
+
+
+def timescales(fns: Collection, times: list) -> list[float]:
+    """For each column: the span of the times in years of 365 days if secular, the period of a cosine or sine, the scale of a
+    regularised spline, in their unit; else not a number."""
+    span = abs((when(times[-1]) - when(times[0])).days) / 365.0
+    key = {"seasonal": "period", "reg": "scale"}
+    out = []
+    for f in fns:
+        classes = CLASSES.get(f.name, ())
+        out.append(span if "secular" in classes else float(f.params.get(key[classes[-1]], 1.0)) if classes else math.nan)
+    return out
 
 
 class TimeFunction:

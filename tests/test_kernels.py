@@ -324,6 +324,14 @@ def test_time_functions_as_numpy_equal_columns(spark):
     assert np.allclose(got, fns.matrix(dates)) and str(timefn.parse(str(fns))) == str(fns)
 
 
+def test_function_types_and_timescales():
+    fns = timefn.parse("constant();linear(tref=2022-01-01);cubic(tref=2022-01-01);sin(tref=2022-01-01,period=90);bspline(tref=2022-01-01,scale=50);ispline(tref=2022-01-01);log(tref=2022-01-01,tau=9)")
+    assert timefn.function_types(fns) == {"secular": [0, 1], "seasonal": [3, 4], "transient": [5], "step": [], "reg": [4, 5]}
+    got = timefn.timescales(fns, [date(2022, 1, 1), date(2022, 6, 1), date(2024, 1, 1)])
+    assert np.allclose(got, [2.0, 2.0, np.nan, 90, 50, 1, np.nan], equal_nan=True)
+    assert timefn.function_types(timefn.Collection())["reg"] == []
+
+
 def test_bad_time_functions_are_refused():
     for text in ("nothing(tref=2022-01-01)", "linear()", "log(tref=2022-01-01,tau=0)", "bspline(tref=2022-01-01,order=1)", "pbspline(tref=2022-01-01,period=10,offset=20)", "linear", "linear(tref=yesterday)"):
         with pytest.raises(ValueError):
