@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..plans.stencil import both_ways, neighbour_pairs
+from ..plans.stencil import offsets, tiles
 
 WORD_BITS = 32
 
@@ -35,14 +36,35 @@ def probabilities(pairs: DataFrame, method: str = "KS2") -> DataFrame:
     return rows.mapInArrow(run, "y int, x int, dy int, dx int, p double")
 
 
-def neighbours(amps: DataFrame, ny: int = 5, nx: int = 5, prob: float = 0.05, method: str = "KS2") -> DataFrame:
+def neighbours(amps: DataFrame, ny: int = 5, nx: int = 5, prob: float = 0.05, method: str = "KS2", tile: int = 32) -> DataFrame:
     """Edges y, x, dy, dx, p of pixels whose samples pass the test, both ways and with each pixel's own (0, 0).
 
-    Each pair is tested once. Masked pixels are not among amps, so have no edges.
+    Pixels are dealt into tiles with a halo, so that samples are copied only into the tiles that their window reaches.
+    Each pair is tested once, in the tile that owns its first pixel, which emits both of its edges. Masked pixels are not
+    among amps, so have no edges.
     """
-    found = probabilities(neighbour_pairs(amps, ny, nx), method).where(F.col("p") >= prob)
-    own = amps.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(1.0).alias("p"))
-    return both_ways(found).unionByName(own)
+    test = stats.TESTS[method]
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x, samples = pdf.y.to_numpy(), pdf.x.to_numpy(), np.stack(pdf.amps.to_numpy()).astype(float)
+        oy, ox = y.min() - ny, x.min() - nx
+        grid = np.full((y.max() - oy + ny + 1, x.max() - ox + nx + 1), -1)
+        grid[y - oy, x - ox] = np.arange(len(y))
+        own = np.flatnonzero(pdf.own.to_numpy())
+        zero = np.zeros(len(own), int)
+        out = [(y[own], x[own], zero, zero, zero + 1.0)]
+        for dy, dx in offsets(ny, nx):
+            other = grid[y[own] + dy - oy, x[own] + dx - ox]
+            a, b = own[other >= 0], other[other >= 0]
+            if len(a):
+                p = test(samples[a], samples[b])
+                a, b, p = a[p >= prob], b[p >= prob], p[p >= prob]
+                step = np.ones(len(a), int)
+                out += [(y[a], x[a], step * dy, step * dx, p), (y[b], x[b], step * -dy, step * -dx, p)]
+        return pd.DataFrame(dict(zip(("y", "x", "dy", "dx", "p"), map(np.concatenate, zip(*out)))))
+
+    rows = amps.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "amps")
+    return tiles(rows, max(tile, ny, nx), ny, nx).groupBy("ty", "tx").applyInPandas(kernel, "y int, x int, dy int, dx int, p double")
 
 
 def bit_of(dy: Column, dx: Column, ny: int, nx: int) -> Column:

@@ -29,13 +29,6 @@ def neighbour_pairs(pixels: DataFrame, ny: int, nx: int, half: bool = True) -> D
     return left.join(right, ["qy", "qx"]).select("y", "x", "dy", "dx", "a", "b")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Edges (y, x, dy, dx and more) with their opposites."""
-    rest = [c for c in edges.columns if c not in ("y", "x", "dy", "dx")]
-    back = edges.select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), (-F.col("dy")).alias("dy"), (-F.col("dx")).alias("dx"), *rest)
-    return edges.select("y", "x", "dy", "dx", *rest).unionByName(back)
-
-
 def tiles(pixels: DataFrame, size: int, ny: int, nx: int) -> DataFrame:
     """Pixels dealt into square tiles (ty, tx) with copies in the tiles whose halo they are in; `own` marks the tile's own.
 
