@@ -5,9 +5,11 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import checkpoint
 from ..plans.components import components
 from ..plans.linalg import weight_table
 
@@ -73,14 +75,37 @@ def common_mask(labels: DataFrame) -> DataFrame:
     return labels.groupBy("y", "x").agg(F.min(F.when(F.col("label") != 0, 1).otherwise(0)).alias("mask"))
 
 
-def label_regions(mask: DataFrame, width: int, connectivity: int = 8) -> DataFrame:
-    """y, x, region of the pixels whose mask is not 0: connected pixels share the least y * width + x among them."""
-    node = F.col("y").cast("long") * width + F.col("x")
-    on = mask.where(F.col("mask") != 0).select("y", "x", node.alias("node"))
+def label_regions(mask: DataFrame, width: int, connectivity: int = 8, tile: int = 128) -> DataFrame:
+    """y, x, region of the pixels whose mask is not 0: connected pixels share the least y * width + x among them.
+
+    Pixels are labelled inside square tiles, a task each of at most tile * tile pixels; only links over the borders of
+    tiles, one for each two parts that touch, go into connected components.
+    """
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    shifted = on.select(F.col("node").alias("a"), F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in steps])).alias("q")).select("a", "q.y", "q.x")
-    links = shifted.join(on.select("y", "x", F.col("node").alias("b")), ["y", "x"]).select("a", "b")
-    return on.join(components(links), "node", "left").select("y", "x", F.coalesce("root", "node").alias("region"))
+    at = lambda c: F.floor(F.col(c) / tile)
+    on = mask.where(F.col("mask") != 0).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
+        node = y * width + x
+        gy, gx = y - y.min() + 1, x - x.min() + 1
+        label = np.full((gy.max() + 2, gx.max() + 2), np.iinfo(np.int64).max)
+        label[gy, gx] = node
+        before = None
+        while before is None or (label[gy, gx] != before).any():
+            before = label[gy, gx]
+            label[gy, gx] = np.minimum.reduce([before] + [label[gy + s * dy, gx + s * dx] for dy, dx in steps for s in (1, -1)])
+        return pd.DataFrame({"y": y, "x": x, "part": label[gy, gx]})
+
+    parts = checkpoint(on.groupBy(at("y").alias("ty"), at("x").alias("tx")).applyInPandas(kernel, "y long, x long, part long"))
+    edge = parts.where(F.pmod("y", F.lit(tile)).isin(0, tile - 1) | F.pmod("x", F.lit(tile)).isin(0, tile - 1))
+    near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("qy"), (F.col("x") + dx).alias("qx")) for dy, dx in steps]))
+    over = edge.select(F.col("part").alias("a"), at("y").alias("ty"), at("x").alias("tx"), near.alias("q")).select("a", "ty", "tx", "q.*")
+    over = over.where((at("qy") != F.col("ty")) | (at("qx") != F.col("tx")))
+    links = over.join(edge.select(F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("part").alias("b")), ["qy", "qx"]).select("a", "b").distinct()
+    out = parts.join(components(links), F.col("part") == F.col("node"), "left")
+    kinds = {c: mask.schema[c].dataType for c in ("y", "x")}
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in kinds], F.coalesce("root", "part").alias("region"))
 
 
 def region_overlap(labels: DataFrame, regions: DataFrame) -> DataFrame:

@@ -71,6 +71,25 @@ def test_neighbourhoods_are_symmetric(spark):
     assert all((y + dy, x + dx, -dy, -dx) in e for y, x, dy, dx in e) and {(y, x, 0, 0) for y in range(6) for x in range(7)} <= e
 
 
+@pytest.mark.parametrize("method", ["KS2", "AD2"])
+def test_neighbourhoods_of_tiles_equal_all_pairs(spark, method):
+    from pixelweave.functions import stats
+
+    rng = np.random.default_rng(5)
+    amps = {(y, x): np.sort(rng.rayleigh(1 + (x > 4), 12)) for y in range(-2, 9) for x in range(9) if rng.random() < 0.9}
+    rows = [(y, x, v.tolist()) for (y, x), v in amps.items()]
+    got = neighbours.neighbours(spark.createDataFrame(rows, "y int, x int, amps array<double>"), 2, 3, 0.2, method, tile=4).collect()
+    expected = {(y, x, 0, 0): 1.0 for y, x in amps}
+    for (y, x), v in amps.items():
+        for dy in range(-2, 3):
+            for dx in range(-3, 4):
+                if (dy, dx) > (0, 0) and (y + dy, x + dx) in amps:
+                    p = float(stats.TESTS[method](v[None], amps[y + dy, x + dx][None])[0])
+                    if p >= 0.2:
+                        expected[y, x, dy, dx] = expected[y + dy, x + dx, -dy, -dx] = p
+    assert len(got) == len(expected) and {tuple(r)[:4]: r.p for r in got} == pytest.approx(expected)
+
+
 # ---- amplitudes
 
 
@@ -268,11 +287,12 @@ def test_one_cycle_is_found_in_a_closure_network(spark):
     assert {p: v for p, v in found.items() if v} == {5: -1}
 
 
-def test_regions_are_connected_areas(spark):
+@pytest.mark.parametrize("tile", [128, 4, 1])
+def test_regions_are_connected_areas(spark, tile):
     rng = np.random.default_rng(11)
     on = rng.random((12, 15)) < 0.55
     df = spark.createDataFrame([(y, x, int(on[y, x])) for y in range(12) for x in range(15)], "y int, x int, mask int")
-    got = {(r.y, r.x): r.region for r in closure.label_regions(df, 15).collect()}
+    got = {(r.y, r.x): r.region for r in closure.label_regions(df, 15, tile=tile).collect()}
     seen = {}
     for y, x in sorted(map(tuple, np.argwhere(on))):
         if (y, x) in seen:
