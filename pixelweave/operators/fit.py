@@ -70,7 +70,8 @@ def search_tau(series: DataFrame, t: np.ndarray, event: float, threshold: float,
     each = []
     for tau in taus:
         g = model_matrix("linear_coseismic_postseismic", t, event, tau)
-        each.append(F.struct(F.lit(tau).alias("tau"), rmse(F.col(values), apply_matrix(g @ np.linalg.pinv(g), F.col(values))).alias("rmse")))
+        predicted = apply_matrix(g, apply_matrix(np.linalg.pinv(g), F.col(values)))
+        each.append(F.struct(F.lit(tau).alias("tau"), rmse(F.col(values), predicted).alias("rmse")))
     rows = series.select("tcorr", F.explode(F.array(*each)).alias("c")).groupBy("c.tau").agg(F.coalesce(F.avg(F.when(F.col("tcorr") > threshold, F.col("c.rmse"))), F.lit(1e6)).alias("mean_rmse"))
     return rows.orderBy("mean_rmse", "tau")
 

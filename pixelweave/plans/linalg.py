@@ -13,12 +13,18 @@ def row_literal(values) -> Column:
 
 def dot(weights, values: Column) -> Column:
     """A row of weights times an array column, summed from left to right."""
-    return F.aggregate(F.zip_with(row_literal(weights), values, lambda w, v: w * v), F.lit(0.0), lambda acc, v: acc + v)
+    return _dot(row_literal(weights), values)
+
+
+def _dot(weights: Column, values: Column) -> Column:
+    return F.aggregate(F.zip_with(weights, values, lambda w, v: w * v), F.lit(0.0), lambda acc, v: acc + v)
 
 
 def apply_matrix(m: np.ndarray, values: Column) -> Column:
-    """A matrix times an array column: an array with one entry per row of the matrix."""
-    return F.array(*[dot(row, values) for row in m])
+    """A matrix times an array column: an array with one entry per row of the matrix. The matrix is one literal and the
+    column is bound once, so that products of products evaluate the inner one once a row."""
+    times = lambda v: F.transform(F.lit(np.asarray(m, float).tolist()), lambda row: _dot(row, v))
+    return F.transform(F.array(values), times)[0]
 
 
 def weight_table(spark: SparkSession, m: np.ndarray, row: str, col: str) -> DataFrame:
