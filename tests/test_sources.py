@@ -92,6 +92,39 @@ def test_a_stream_closes_complete_mini_stacks_once(spark, tmp_path):
     assert closed == [(0, 4), (1, 4)]
 
 
+def test_a_failure_before_the_mark_closes_again_and_late_rows_are_kept(spark, tmp_path):
+    schema = "y int, x int, band int, re double, im double"
+    calls, broken = [], [True]
+
+    def close(df, k):
+        df.write.mode("overwrite").parquet(str(tmp_path / "out" / f"stack={k}"))
+        calls.append(k)
+        if k == 1 and broken.pop():
+            broken.append(False)
+            raise RuntimeError("lost after its work, before its mark")
+
+    def arrive(bands, x=(0, 1)):
+        spark.createDataFrame([(0, c, b, 1.0, 0.0) for b in bands for c in x], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def go():
+        q = ministacks.follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), 2, close, str(tmp_path / "cp"))
+        q.awaitTermination()
+
+    arrive([0, 1, 2, 3, 4])
+    with pytest.raises(Exception, match="before its mark"):
+        go()
+    go()  # the same batch again: its rows of closed stacks are not late
+    assert calls == [0, 1, 0, 1] or calls == [0, 1, 1]
+    assert ministacks.late_rows(spark, str(tmp_path / "state")) is None
+    arrive([1], x=(7,))
+    arrive([5])
+    go()
+    late = ministacks.late_rows(spark, str(tmp_path / "state")).collect()
+    assert [(r.x, r.band, r.ministack) for r in late] == [(7, 1, 0)] and calls[-1] == 2
+    out = spark.read.parquet(str(tmp_path / "out")).groupBy("stack").count().collect()
+    assert {r["stack"]: r["count"] for r in out} == {0: 4, 1: 4, 2: 4}
+
+
 def test_windowed_means(spark, tmp_path):
     schema = "time timestamp, y int, x int, re double, im double"
     spark.createDataFrame([(1_600_000_000, 3.0)], "t long, re double").select(F.timestamp_seconds("t").alias("time"), F.lit(0).alias("y"), F.lit(0).alias("x"), "re", F.lit(4.0).alias("im")).write.parquet(str(tmp_path / "in"))
