@@ -391,12 +391,12 @@ _D = f"with {PX}, {ed()}, v as (select ed.y, ed.x, q.e[1] r1, q.e[2] i1, q.e[3]
 
 @register(_D + f" select y, x, {R('avg(sqrt(r1*r1 + i1*i1))')} amp from v group by y, x")
 def o8_despeckled_amplitude(spark, d):
-    return despeckle.mean_amplitude(X.edges(spark, d), _band(spark, d, 0)).select("y", "x", rnd("amp").alias("amp"))
+    return despeckle.mean_amplitude(X.edges(spark, d), _band(spark, d, 0), 2, 2).select("y", "x", rnd("amp").alias("amp"))
 
 
 @register(_D + f" select y, x, {R('avg(r1*r2 + i1*i2)')} re, {R('avg(i1*r2 - r1*i2)')} im from v group by y, x")
 def o9_despeckled_interferogram(spark, d):
-    return despeckle.interferogram(X.edges(spark, d), _band(spark, d, 0), _band(spark, d, 1)).select("y", "x", rnd("re").alias("re"), rnd("im").alias("im"))
+    return despeckle.interferogram(X.edges(spark, d), _band(spark, d, 0), _band(spark, d, 1), 2, 2).select("y", "x", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 _COH = ", s as (select y, x, sum(r1*r2 + i1*i2) r, sum(i1*r2 - r1*i2) i, sqrt(sum(r1*r1 + i1*i1)) * sqrt(sum(r2*r2 + i2*i2)) n from v group by y, x)"
@@ -404,23 +404,23 @@ _COH = ", s as (select y, x, sum(r1*r2 + i1*i2) r, sum(i1*r2 - r1*i2) i, sqrt(su
 
 @register(_D + _COH + f" select y, x, {R('case when n > 0 then r/n else 0 end')} re, {R('case when n > 0 then i/n else 0 end')} im from s")
 def o10_despeckled_coherence(spark, d):
-    return despeckle.coherence(X.edges(spark, d), _band(spark, d, 0), _band(spark, d, 1)).select("y", "x", rnd("re").alias("re"), rnd("im").alias("im"))
+    return despeckle.coherence(X.edges(spark, d), _band(spark, d, 0), _band(spark, d, 1), 2, 2).select("y", "x", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 _MAT = (
-    f"with {PX}, {ed()}, v as (select ed.y, ed.x, q.e from ed join px q on q.y = qy and q.x = qx), t as (select y, x, cast(i as int) ti, cast(j as int) tj, e[2*i+1] r1, e[2*i+2] i1, e[2*j+1] r2, e[2*j+2] i2 from v, (select unnest(range(6)) i), (select unnest(range(6)) j) where i < j),"
+    f"with {PX}, {ed()}, v as (select ed.y, ed.x, q.e from ed join px q on q.y = qy and q.x = qx), t as (select y, x, cast(i as int) ti, cast(j as int) tj, e[2*i+1] r1, e[2*i+2] i1, e[2*j+1] r2, e[2*j+2] i2 from v, (select unnest(range(32)) i), (select unnest(range(32)) j) where i < j),"
     " s as (select y, x, ti, tj, count(*) n, sum(r1*r2 + i1*i2) r, sum(i1*r2 - r1*i2) i, sqrt(sum(r1*r1 + i1*i1) * sum(r2*r2 + i2*i2)) p from t group by y, x, ti, tj)"
 )
 
 
 @register(_MAT + f" select y, x, n, ti, tj, {R('r/p')} re, {R('i/p')} im from s")
 def o11_j8_coherence_matrix(spark, d):
-    return despeckle.coherence_matrix(X.edges(spark, d), X.wide(spark, d, 6)).select("y", "x", "n", "ti", "tj", rnd("re").alias("re"), rnd("im").alias("im"))
+    return despeckle.coherence_matrix(X.edges(spark, d), X.wide(spark, d, 32), 2, 2).select("y", "x", "n", "ti", "tj", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 @register(_MAT + f" select y, x, n, ti, tj, {R('r/p')} re, {R('i/p')} im from s where y = 5 and x = 7")
 def o49_pixel_matrix(spark, d):
-    return despeckle.pixel_matrix(X.edges(spark, d), X.wide(spark, d, 6), 5, 7).select("y", "x", "n", "ti", "tj", rnd("re").alias("re"), rnd("im").alias("im"))
+    return despeckle.pixel_matrix(X.edges(spark, d), X.wide(spark, d, 32), 5, 7, 2, 2).select("y", "x", "n", "ti", "tj", rnd("re").alias("re"), rnd("im").alias("im"))
 
 
 # ---- phase linking -------------------------------------------------------------------------------------------------
@@ -457,31 +457,31 @@ def _many(n, method, **options):
     return run
 
 
-register(name="o21_o16_evd")(_many(16, "EVD"))
-register(name="o22_stbas")(_many(16, "STBAS", bandwidth=4))
+register(name="o21_o16_evd")(_many(32, "EVD"))
+register(name="o22_stbas")(_many(32, "STBAS", bandwidth=4))
 register(name="o23_mle")(_many(8, "MLE"))
 register(name="o23_mle_rank_deficient")(_many(16, "MLE"))
-register(name="o24_phase_link_robust")(_many(16, "phase_link"))
+register(name="o24_phase_link_robust")(_many(32, "phase_link"))
 register(name="t1_iterative_mle")(_many(8, "iterative"))
 
 
 @register()
 def o49b_matrix_diagnostics(spark, d):
-    out = _link(spark, d, 8, "EVD", diagnostics=True)
+    out = _link(spark, d, 32, "EVD", diagnostics=True)
     return out.select("y", "x", *[rnd(c, 4).alias(c) for c in out.columns[2:]])
 
 
 @register()
 def o26_sequential(spark, d):
     masks = neighbours.bit_masks(X.edges(spark, d), 2, 2)
-    own, _ = sequential.sequential(X.wide(spark, d, 12), masks, 12, 4, 2, 2, "EVD")
+    own, _ = sequential.sequential(X.wide(spark, d, 32), masks, 32, 8, 2, 2, "EVD")
     return own.select("y", "x", "ministack", rnd("tcorr", 4).alias("tcorr"))
 
 
 @register()
 def t5_sequential_overlap(spark, d):
     masks = neighbours.bit_masks(X.edges(spark, d), 2, 2)
-    out = sequential.sequential_overlap(X.wide(spark, d, 12), masks, 12, 4, 2, 2, "EVD")
+    out = sequential.sequential_overlap(X.wide(spark, d, 32), masks, 32, 8, 2, 2, "EVD")
     return out.select("y", "x", rnd("tcorr", 4).alias("tcorr"), F.transform("re", lambda v: F.round(v, 4)).alias("re"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..plans.stencil import offsets, tiles
+from ..plans.stencil import offsets, tile_grid, tiles
 
 WORD_BITS = 32
 
@@ -47,14 +47,12 @@ def neighbours(amps: DataFrame, ny: int = 5, nx: int = 5, prob: float = 0.05, me
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x, samples = pdf.y.to_numpy(), pdf.x.to_numpy(), np.stack(pdf.amps.to_numpy()).astype(float)
-        oy, ox = y.min() - ny, x.min() - nx
-        grid = np.full((y.max() - oy + ny + 1, x.max() - ox + nx + 1), -1)
-        grid[y - oy, x - ox] = np.arange(len(y))
+        grid, gy, gx = tile_grid(y, x, ny, nx)
         own = np.flatnonzero(pdf.own.to_numpy())
         zero = np.zeros(len(own), int)
         out = [(y[own], x[own], zero, zero, zero + 1.0)]
         for dy, dx in offsets(ny, nx):
-            other = grid[y[own] + dy - oy, x[own] + dx - ox]
+            other = grid[gy[own] + dy, gx[own] + dx]
             a, b = own[other >= 0], other[other >= 0]
             if len(a):
                 p = test(samples[a], samples[b])
@@ -90,10 +88,3 @@ def decode_masks(masks: DataFrame, ny: int, nx: int) -> DataFrame:
 def popcount(mask: Column) -> Column:
     """Bits that are set in all words."""
     return F.aggregate(F.transform(mask, F.bit_count), F.lit(0), lambda a, b: a + b)
-
-
-def gather(edges: DataFrame, long: DataFrame) -> DataFrame:
-    """Values of each pixel's neighbours: y, x, dy, dx and the columns of long at the neighbour; an equi-join."""
-    rest = [c for c in long.columns if c not in ("y", "x")]
-    keyed = edges.select("y", "x", "dy", "dx", (F.col("y") + F.col("dy")).alias("qy"), (F.col("x") + F.col("dx")).alias("qx"))
-    return keyed.join(long.select(F.col("y").alias("qy"), F.col("x").alias("qx"), *rest), ["qy", "qx"]).drop("qy", "qx")

@@ -6,13 +6,15 @@ each with its bit mask; a tile's task forms the coherence matrices of its own pi
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import RasterError
-from ..plans.stencil import tiles
+from ..plans.stencil import tile_grid, tiles, window_rows
 
 EPS = 1e-6
 METHODS = ("EVD", "STBAS", "MLE", "phase_link", "iterative")
@@ -51,6 +53,9 @@ def _banded(c: np.ndarray, bw: int) -> np.ndarray:
 def _inverse(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inverses by Cholesky factors; where there is none the identity, and a mark."""
     out, bad = np.tile(np.eye(g.shape[1]), (len(g), 1, 1)), np.zeros(len(g), bool)
+    with contextlib.suppress(np.linalg.LinAlgError):  # one that has none fails them all
+        low = np.linalg.inv(np.linalg.cholesky(g))
+        return low.transpose(0, 2, 1) @ low, bad
     for k in range(len(g)):
         try:
             low = np.linalg.inv(np.linalg.cholesky(g[k]))
@@ -130,14 +135,6 @@ def compressed(z: np.ndarray, linked: np.ndarray, mini_stack_count: int = 1) ->
     return (z[:, k:] * linked[:, k:].conj()).sum(axis=1) / (z.shape[1] - k)
 
 
-def _windows(grid: np.ndarray, y: np.ndarray, x: np.ndarray, masks: np.ndarray, ny: int, nx: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers (pixels x window) of the neighbours that a mask has, and which there are. grid has -1 for no pixel."""
-    flat = np.arange((2 * ny + 1) * (2 * nx + 1))
-    bit = (masks[:, flat // 32] >> (flat % 32)) & 1
-    rows = grid[y[:, None] + flat // (2 * nx + 1) - ny, x[:, None] + flat % (2 * nx + 1) - nx]
-    return np.maximum(rows, 0), (bit == 1) & (rows >= 0)
-
-
 def phase_link(wide: DataFrame, masks: DataFrame, ny: int = 5, nx: int = 5, method: str = "MLE", bandwidth: int = -1, mini_stack_count: int = 1, min_neighbors: int | None = None, tile: int = 32, batch: int = 64, diagnostics: bool = False, **options) -> DataFrame:
     """y, x, tcorr, re, im (linked phasors by band), comp_re, comp_im (the compressed acquisition) for every pixel.
 
@@ -152,9 +149,7 @@ def phase_link(wide: DataFrame, masks: DataFrame, ny: int = 5, nx: int = 5, meth
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         z = np.stack(pdf.re.to_numpy()) + 1j * np.stack(pdf.im.to_numpy())
         y, x = pdf.y.to_numpy(), pdf.x.to_numpy()
-        oy, ox = y.min() - ny, x.min() - nx
-        grid = np.full((y.max() - oy + ny + 1, x.max() - ox + nx + 1), -1)
-        grid[y - oy, x - ox] = np.arange(len(pdf))
+        grid, gy, gx = tile_grid(y, x, ny, nx)
         own = np.flatnonzero(pdf.own.to_numpy())
         masks_ = np.stack([np.asarray(m if m is not None else [0] * words, np.int64) for m in pdf["mask"].to_numpy()[own]]) if len(own) else np.zeros((0, words), np.int64)
         n = z.shape[1]
@@ -162,7 +157,7 @@ def phase_link(wide: DataFrame, masks: DataFrame, ny: int = 5, nx: int = 5, meth
         stats = np.zeros((len(own), 9))
         for at in range(0, len(own), batch):
             part = slice(at, at + batch)
-            rows, member = _windows(grid, y[own[part]] - oy, x[own[part]] - ox, masks_[part], ny, nx)
+            rows, member = window_rows(grid, gy[own[part]], gx[own[part]], masks_[part], ny, nx)
             centre = member[:, member.shape[1] // 2]
             ok = np.flatnonzero(centre & (member.sum(axis=1) >= least))
             if not len(ok):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,19 @@ def tiles(pixels: DataFrame, size: int, ny: int, nx: int) -> DataFrame:
     lo, hi = lambda c, n: F.floor((F.col(c) - n) / size), lambda c, n: F.floor((F.col(c) + n) / size)
     out = pixels.withColumn("ty", F.explode(F.sequence(lo("y", ny), hi("y", ny)))).withColumn("tx", F.explode(F.sequence(lo("x", nx), hi("x", nx))))
     return out.withColumn("own", (F.col("ty") == F.floor(F.col("y") / size)) & (F.col("tx") == F.floor(F.col("x") / size)))
+
+
+def tile_grid(y: np.ndarray, x: np.ndarray, ny: int, nx: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of a tile's pixels on a grid with a margin of the window, -1 for no pixel, and the pixels' places on it."""
+    gy, gx = y - y.min() + ny, x - x.min() + nx
+    grid = np.full((gy.max() + ny + 1, gx.max() + nx + 1), -1)
+    grid[gy, gx] = np.arange(len(y))
+    return grid, gy, gx
+
+
+def window_rows(grid: np.ndarray, gy: np.ndarray, gx: np.ndarray, masks: np.ndarray, ny: int, nx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (pixels x window) of the neighbours that a bit mask has, and which there are."""
+    flat = np.arange((2 * ny + 1) * (2 * nx + 1))
+    bit = (masks[:, flat // 32] >> (flat % 32)) & 1
+    rows = grid[gy[:, None] + flat // (2 * nx + 1) - ny, gx[:, None] + flat % (2 * nx + 1) - nx]
+    return np.maximum(rows, 0), (bit == 1) & (rows >= 0)

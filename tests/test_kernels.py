@@ -90,6 +90,31 @@ def test_neighbourhoods_of_tiles_equal_all_pairs(spark, method):
     assert len(got) == len(expected) and {tuple(r)[:4]: r.p for r in got} == pytest.approx(expected)
 
 
+def test_despeckling_by_tiles_equals_sums_over_windows(spark):
+    from pixelweave.operators import despeckle
+
+    rng = np.random.default_rng(6)
+    z = {(y, x): rng.normal(size=3) + 1j * rng.normal(size=3) for y in range(7) for x in range(8)}
+    z[3, 3] = np.zeros(3, complex)
+    edges = [(y, x, dy, dx) for y, x in z for dy in (-1, 0, 1) for dx in (-2, 0, 1) if (y + dy, x + dx) in z and (y, x, dy, dx) != (2, 2, 0, 0)]
+    e = spark.createDataFrame(edges, "y int, x int, dy int, dx int")
+    wide = spark.createDataFrame([(*k, v.real.tolist(), v.imag.tolist()) for k, v in z.items()], "y int, x int, re array<double>, im array<double>")
+    band = lambda k: wide.select("y", "x", F.col("re")[k].alias("re"), F.col("im")[k].alias("im"))
+    near = {p: np.array([z[y + dy, x + dx] for y, x, dy, dx in edges if (y, x) == p]) for p in z}
+    options = {"ny": 1, "nx": 2, "tile": 3}
+    amp = {(r.y, r.x): r.amp for r in despeckle.mean_amplitude(e, band(0), **options).collect()}
+    assert amp == pytest.approx({p: abs(v[:, 0]).mean() for p, v in near.items() if p != (2, 2)})
+    inter = {(r.y, r.x): complex(r.re, r.im) for r in despeckle.interferogram(e, band(0), band(1), **options).collect()}
+    assert inter == pytest.approx({p: (v[:, 0] * v[:, 1].conj()).mean() for p, v in near.items() if p != (2, 2)})
+    found = despeckle.coherence_matrix(e, wide, **options).collect()
+    assert len(found) == 3 * len(z)
+    for r in found:
+        a, b = near[r.y, r.x][:, r.ti], near[r.y, r.x][:, r.tj]
+        assert r.n == len(a) and complex(r.re, r.im) == pytest.approx((a * b.conj()).sum() / np.sqrt((abs(a) ** 2).sum() * (abs(b) ** 2).sum()))
+    with pytest.raises(Exception, match="longer than the window"):
+        despeckle.coherence_matrix(e, wide, ny=1, nx=1).collect()
+
+
 # ---- amplitudes
 
 
