@@ -5,7 +5,7 @@ White space divides a text into chunks that a word-level BPE never joins, so eve
 symbols, is count[i - len(t)] + 1 for the one token t that ends there and fits the last token before it: two tokens fit
 if BPE makes the same two of their joined symbols. The count of a prefix that ends the word is found alike, its last
 symbol being the one with the word end. So one pass gives the exact count at every prefix, and questions about budgets
-and truncation are answered from the table.
+and truncation are answered from the table. The total of a word needs that table too, but an end at its last symbol only.
 
 Prefixes are those of the normalised text (composed, lower case), which has the code points of the text itself except
 where normalisation changes their number.
@@ -19,6 +19,7 @@ import re
 import unicodedata
 from array import array
 from bisect import bisect_right
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -69,6 +70,18 @@ def _byte_symbols() -> list[str]:
 
 SYMBOLS = _byte_symbols()
 
+
+def _symbols(word: str) -> str:
+    """The symbols of a word's bytes; letters of ASCII are their own."""
+    return word if word.isascii() and word.isalpha() else "".join(map(SYMBOLS.__getitem__, word.encode()))
+
+
+def _suffixes(tokens: Iterable[str]) -> dict[str, bool]:
+    """All strings that end a token, and whether they are one: a string that is missing has no longer ones before it either."""
+    own = set(tokens)
+    return {t[i:]: t[i:] in own for t in own for i in range(len(t))}
+
+
 #: In place of the merge that makes a token, for single symbols.
 _SYMBOL = (-1, "", "")
 
@@ -122,7 +135,9 @@ class Chunks:
     Arrow divides and numbers them, so that Python sees each distinct part once.
     """
 
-    def __init__(self, lists: pa.Array):
+    def __init__(self, lists: pa.Array, own: bool = False):
+        """own: the parts are all that is between white space in the texts, code point by code point, but for its case."""
+        self.own = own
         coded = lists.values.dictionary_encode()
         self.distinct: list[str] = coded.dictionary.to_pylist()
         self.which = coded.indices
@@ -138,9 +153,13 @@ class Chunks:
 
     def sums(self, each: list[int]) -> np.ndarray:
         """Sums over each text of what its chunks have."""
-        run = np.concatenate([[0], np.cumsum(np.array(each, np.int64)[self.which.to_numpy()])]) if each else np.zeros(1, np.int64)
+        run = self.running(each)
         return run[self.bounds[1:]] - run[self.bounds[:-1]]
 
+    def running(self, each: list[int]) -> np.ndarray:
+        """Sums of what comes before each chunk, over all texts."""
+        return np.concatenate([[0], np.cumsum(np.array(each, np.int64)[self.which.to_numpy()])]) if each else np.zeros(1, np.int64)
+
     def joined(self, each: list[bytes]) -> list[memoryview]:
         """What the chunks of each text have, one after another."""
         flat = pa.array(each, pa.large_binary()).take(self.which)
@@ -189,7 +208,7 @@ class Words:
         out = []
         if len(plain := texts.filter(pc.invert(odd))):
             spaced = pc.replace_substring_regex(pc.utf8_lower(plain), _BETWEEN, r" \1 ")
-            out.append((np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), Chunks(split(spaced))))
+            out.append((np.flatnonzero(~odd.to_numpy(zero_copy_only=False)), Chunks(split(spaced), own=True)))
         if len(rest := texts.filter(odd)):
             words = [[w for c in chunks(t) for text, ws in self._parts(c) for w in ([_SPECIAL + text] if ws is None else ws)] for t in rest.to_pylist()]
             out.append((np.flatnonzero(odd.to_numpy(zero_copy_only=False)), Chunks(pa.array(words, pa.large_list(pa.large_string())))))
@@ -217,12 +236,12 @@ class PrefixCounts(Words):
         self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(merges)}
         vocab = model["model"]["vocab"]
         # BPE must make a token of its own symbols, or it never appears
-        self.inner = {t for t in vocab if not t.endswith(self.end)}
-        self.final = {t[: -len(self.end)] for t in vocab if t.endswith(self.end)}
-        self.longest = max(map(len, self.inner | self.final))
+        self.inner = _suffixes(t for t in vocab if not t.endswith(self.end))
+        self.final = _suffixes(t[: -len(self.end)] for t in vocab if t.endswith(self.end))
         del self.description
         self.fits: tuple[dict, dict] = ({}, {})
         self.words = Memory(self._word)
+        self.wholes = Memory(self._whole)
         self.heads = Memory(self._head, HEADS)
         self.totals = Memory(self._total, CHUNKS)
 
@@ -279,40 +298,60 @@ class PrefixCounts(Words):
 
     def _word(self, word: str) -> bytes | array:
         """Tokens of each prefix of a word, as a word of its own, by code points; entry 0 is the empty prefix."""
-        s = "".join(map(SYMBOLS.__getitem__, word.encode()))
+        s = _symbols(word)
         bounds = range(len(s) + 1) if len(s) == len(word) else list(accumulate((len(c.encode()) for c in word), initial=0))
         n = len(s)
-        ends = self._steps(s, *self.heads[s[:HEAD]])[2] if n > HEAD else self._steps(s, [0], [""], [0])[2]
+        count, last = self._steps(s, n, *self.heads[s[:HEAD]])
+        ends = [0, *(self._end(s, i, count, last) for i in range(1, n + 1))]
         return bytes(ends) if n == len(word) and ends[n] < 256 else array("I", (ends[b] for b in bounds))
 
-    def _head(self, s: str) -> tuple[list, list, list]:
-        """What many words share: the table of their first symbols."""
-        return self._steps(s, [0], [""], [0])
+    def _whole(self, word: str) -> int:
+        """Tokens of a word: of all ends only its own."""
+        s = _symbols(word)
+        n = len(s)
+        return self._end(s, n, *self._steps(s, n - 1, *self.heads[s[: min(HEAD, n - 1)]]))
 
-    def _steps(self, s: str, count: list[int], last: list[str], ends: list[int]) -> tuple[list, list, list]:
-        """Go on from the table of a shorter prefix: tokens that don't end the word, the last of them, tokens that end it."""
-        k, n, inner, final, fits = len(count), len(s), self.inner, self.final, self.fits
-        count, last, ends = count + [0] * (n + 1 - k), last + [""] * (n + 1 - k), ends + [0] * (n + 1 - k)
+    def _head(self, s: str) -> tuple[list, list]:
+        """What many words share: the table of their first symbols."""
+        return self._steps(s, len(s), [0], [""])
+
+    def _steps(self, s: str, n: int, count: list[int], last: list[str]) -> tuple[list, list]:
+        """Go on from the table of a shorter prefix up to n symbols: tokens that don't end the word, and the last of them."""
+        k, inner, fits = len(count), self.inner, self.fits[0]
+        if k > n:
+            return count, last
+        count, last = count + [0] * (n + 1 - k), last + [""] * (n + 1 - k)
         for i in range(k, n + 1):
-            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
-                before = last[j]
-                if not before and j:
-                    continue
+            for j in range(i - 1, -1, -1):
                 t = s[j:i]
-                if not count[i] and t in inner and (fits[0][before, t] if (before, t) in fits[0] else self._fit(before, t, 0)):
-                    count[i], last[i] = count[j] + 1, t
-                    if ends[i]:
-                        break
-                if not ends[i] and t in final and (fits[1][before, t] if (before, t) in fits[1] else self._fit(before, t, 1)):
-                    ends[i] = count[j] + 1
-                    if count[i]:
+                token = inner.get(t)
+                if token:
+                    before = last[j]
+                    if (before or not j) and (fits[before, t] if (before, t) in fits else self._fit(before, t, 0)):
+                        count[i], last[i] = count[j] + 1, t
                         break
-        return count, last, ends
+                elif token is None:
+                    break
+        return count, last
+
+    def _end(self, s: str, i: int, count: list[int], last: list[str]) -> int:
+        """Tokens of the first i symbols as a word, from the table of those before the last one."""
+        final, fits = self.final, self.fits[1]
+        for j in range(i - 1, -1, -1):
+            t = s[j:i]
+            token = final.get(t)
+            if token:
+                before = last[j]
+                if (before or not j) and (fits[before, t] if (before, t) in fits else self._fit(before, t, 1)):
+                    return count[j] + 1
+            elif token is None:
+                break
+        return 0
 
     def _total(self, chunk: str) -> int:
         if (words := self._simple(chunk)) is not None:
-            return sum([self.words[w][-1] for w in words])
-        return sum(1 if words is None else sum(self.words[w][-1] for w in words) for _, words in self._parts(chunk))
+            return sum([self.wholes[w] for w in words])
+        return sum(1 if words is None else sum(self.wholes[w] for w in words) for _, words in self._parts(chunk))
 
     def inside(self, chunk: str) -> array:
         """Tokens of each prefix of a chunk; entry 0 is the empty prefix."""
@@ -334,11 +373,25 @@ class PrefixCounts(Words):
     def total(self, text: str | None) -> int:
         return sum(map(self.totals.__getitem__, chunks(text)))
 
-    def all_totals(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts), np.int64)
-        for at, parts in self.divided(texts):
-            out[at] = parts.sums([1 if w[:1] == _SPECIAL else self.words[w][-1] if w else 0 for w in parts.distinct])
-        return out
+    def all_longest(self, texts: list[str | None], budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of each text, and what longest_prefix() gives for it; the words of both are counted once."""
+        total, chars, fit = (np.zeros(len(texts), np.int64) for _ in range(3))
+        for at, parts in self.divided(pa.array(texts, pa.large_string())):
+            each = [1 if w[:1] == _SPECIAL else self.wholes[w] if w else 0 for w in parts.distinct]
+            total[at] = fit[at] = parts.sums(each)
+            sizes = list(map(len, parts.distinct)) if parts.own else None
+            chars[at] = parts.sums(sizes) if parts.own else [sum(map(len, chunks(texts[i]))) for i in at]
+            over = np.flatnonzero(total[at] > budget).tolist()
+            tokens, symbols = (parts.running(each), parts.running(sizes)) if over and parts.own else (None, None)
+            for k in over:
+                text, table = texts[at[k]], None
+                if parts.own:  # a chunk begins where one of its words does
+                    a, b = parts.bounds[k], parts.bounds[k + 1] + 1
+                    first = chunks(text, budget + 1)
+                    where = np.searchsorted(symbols[a:b], symbols[a] + np.cumsum([0, *map(len, first)]))
+                    table = first, (tokens[a:b][where] - tokens[a]).tolist()
+                chars[at[k]], fit[at[k]] = self.longest_prefix(text, budget, table)
+        return total, chars, fit
 
     def table(self, text: str | None, most: int | None = None) -> tuple[list[str], list[int]]:
         """The chunks of a text and the tokens before each, then those of all; inside(c) has what is inside.
@@ -348,9 +401,12 @@ class PrefixCounts(Words):
         parts = chunks(text) if most is None else chunks(text, most)
         return parts, list(accumulate(map(self.totals.__getitem__, parts), initial=0))
 
-    def longest_prefix(self, text: str | None, budget: int) -> tuple[int, int]:
-        """The most code points at the start of a text, counted without white space, that make at most `budget` tokens, and those tokens."""
-        parts, before = self.table(text, budget + 1)
+    def longest_prefix(self, text: str | None, budget: int, table: tuple[list[str], list[int]] | None = None) -> tuple[int, int]:
+        """The most code points at the start of a text, counted without white space, that make at most `budget` tokens, and those tokens.
+
+        table: that of the text, if it is known, with budget + 1 chunks at least.
+        """
+        parts, before = table or self.table(text, budget + 1)
         k = bisect_right(before, budget) - 1
         whole = sum(map(len, parts[:k]))
         if k == len(parts):
@@ -412,10 +468,8 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def work(cols: list[list]) -> list[list]:
         t = one(PrefixCounts, path)
         ids, texts = cols
-        n = t.all_totals(pa.array(texts, pa.large_string())).tolist()
-        fit = [(None, c) if c <= budget else t.longest_prefix(x, budget) for x, c in zip(texts, n)]
-        fit = [(sum(map(len, chunks(x))), c) if f is None else (f, c) for x, (f, c) in zip(texts, fit)]
-        out = [ids, [len((x or "").encode()) for x in texts], n, [c > budget for c in n], [f for f, _ in fit], [c for _, c in fit]]
+        n, chars, fit = t.all_longest(texts, budget)
+        out = [ids, [len((x or "").encode()) for x in texts], n, n > budget, chars, fit]
         return [*out, [t.every_prefix(x) for x in texts]] if prefixes else out
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -377,6 +377,21 @@ def test_counts_of_every_prefix_are_the_librarys(library):
             assert prefix[n] == c <= budget and (n == len(bare) or prefix[n + 1 :][0] > budget or max(prefix[n + 1 :]) >= prefix[n])
 
 
+def test_totals_and_budgets_count_each_word_once_without_its_prefixes(library):
+    t = tokens.PrefixCounts(tokens.vocabulary())
+    samples = [None, "", " \t\n", "a", "Straße déjà-vu,", "Hello, it's we'll don't 'S x'RE ''s !'t 12.5", "a\x1cb \x1d", "½ ² ١٢ 中文字 日本", "<|endoftext|> a<|startoftext|>'s b"]
+    samples += [" thnthatble\nerntionou, öachpf-éréen's " * 40, "x" * 200 + " thndererinti " * 30, "İstanbul ﬁ " * 50]
+    one_by_one = tokens.PrefixCounts(tokens.vocabulary())
+    for budget in (0, 1, 7, 60, 2048):
+        got = list(zip(*(v.tolist() for v in t.all_longest(samples, budget))))
+        assert got == [(len(library.encode(x or "", add_special_tokens=False).ids), *one_by_one.longest_prefix(x, budget)) for x in samples]
+    t = tokens.PrefixCounts(tokens.vocabulary())
+    assert t.total("thnthatble erntionou thndererinti") == len(library.encode("thnthatble erntionou thndererinti", add_special_tokens=False).ids)
+    assert len(t.wholes) == 3 and not t.words and not any(len(s) > tokens.HEAD for s in t.heads)
+    t.all_longest(["thnthatble erntionou thndererinti " * 9], 20)
+    assert len(t.wholes) == 3 and len(t.words) == 1  # the word at the budget
+
+
 def test_counts_and_ids_are_the_librarys(spark, sf, library):
     want = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = queries.op4_prefix_token_counts(spark, sf).collect()
